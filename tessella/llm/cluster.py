@@ -88,3 +88,42 @@ def connected_components(edges: DataFrame) -> DataFrame:
         after = stage(small.distinct(), "links")
         release(now)
         now = after
+
+
+def whole_groups(batches, keys: int, rows: int):
+    """Arrow tables of whole groups from batches sorted by their first ``keys`` columns.
+
+    A table has about ``rows`` rows, or one group if that is larger; the last,
+    open group of a table goes on to the next.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    held, count = [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            held.append(batch.slice(at, rows))
+            count += held[-1].num_rows
+            if count >= rows:
+                t = pa.Table.from_batches(held).combine_chunks()
+                last = np.ones(count, bool)
+                for k in range(keys):
+                    column = t.column(k).to_numpy()
+                    last &= column == column[-1]
+                cut = int(np.argmax(last))  # sorted, so the open group is the tail
+                if cut:
+                    yield t.slice(0, cut)
+                held, count = t.slice(cut).to_batches(), count - cut
+    if count:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def block_pairs(blocks: Column, own: Column) -> Column:
+    """The pairs (i, j), i <= j, of blocks in which a row of block ``own`` takes part.
+
+    With them each two rows of a group meet in one task, and a task holds two
+    blocks at most, however large the group.
+    """
+    every = F.sequence(F.lit(0), blocks.cast("int") - 1)
+    pairs = F.transform(every, lambda k: F.struct(F.least(own.cast("int"), k).alias("i"), F.greatest(own.cast("int"), k).alias("j")))
+    return F.when(blocks <= 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(pairs)

@@ -21,3 +21,45 @@ def repeated_bytes(texts, window=200):
         spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
         out.append((len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def shingle_set(text):
+    words = (text or "").encode().lower().split()
+    if len(words) < 5:
+        return frozenset([tuple(words)] if words else [])
+    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+
+
+def components(ids, linked):
+    """The least id reachable from each position; linked: pairs of positions."""
+    root = list(range(len(ids)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in linked:
+        root[find(a)] = find(b)
+    least = {}
+    for i, d in enumerate(ids):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return [least[find(i)] for i in range(len(ids))]
+
+
+def near_duplicates(rows, percent):
+    """(doc_id, n_shingles, component_id, kept) of (doc_id, text) rows."""
+    sets = [shingle_set(t) for _, t in rows]
+    by = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            by[x].append(i)
+    common = defaultdict(int)
+    for members in by.values():
+        for a in range(len(members)):
+            for b in range(a):
+                common[members[b], members[a]] += 1
+    linked = [(a, b) for (a, b), k in common.items() if 100 * k >= percent * (len(sets[a]) + len(sets[b]) - k)]
+    found = components([i for i, _ in rows], linked)
+    return [(i, len(s), c, i == c) for (i, _), s, c in zip(rows, sets, found)]
