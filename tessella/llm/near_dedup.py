@@ -340,7 +340,7 @@ def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
     chosen = near_duplicates(docs, percent).where("grp is not null").groupBy("grp").agg(first).select("first.*")
     same = rows["doc_id"].eqNullSafe(chosen["doc_id"]) & (rows["__tsl_0"] == chosen["k1"]) & (rows["__tsl_1"] == chosen["k2"])
     stay = rows.join(chosen, same, "left_semi")
-    once = Window.partitionBy("doc_id", "__tsl_0", "__tsl_1").orderBy("source")
+    once = Window.partitionBy("doc_id", "__tsl_0", "__tsl_1").orderBy(F.lit(0))
     stay = stay.withColumn("__tsl_k", F.row_number().over(once)).where("__tsl_k = 1").select(*docs.columns)
     wordless = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     return stay.union(docs.where(wordless))
