@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, mixing, near_dedup, suffix_dedup, token_counts
+from tessella.llm import bpe, embed_dedup, mixing, near_dedup, suffix_dedup, token_counts
 from tessella.llm.cluster import table
 
 
@@ -18,6 +18,10 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_counts.context_totals(token_counts.histogram(docs, tokenizer_file()))
@@ -41,6 +45,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embed_dedup": op1_embed_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_mixing": op3_mixing,
     "op5_bpe": op5_bpe,

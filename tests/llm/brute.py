@@ -63,3 +63,26 @@ def near_duplicates(rows, percent):
     linked = [(a, b) for (a, b), k in common.items() if 100 * k >= percent * (len(sets[a]) + len(sets[b]) - k)]
     found = components([i for i, _ in rows], linked)
     return [(i, len(s), c, i == c) for (i, _), s, c in zip(rows, sets, found)]
+
+
+def linked_vectors(rows, threshold=0.98):
+    """(vec_id, n_links, component_id, kept) of (vec_id, vector, label) rows."""
+    import math
+
+    import numpy as np
+
+    def unit(v):
+        if not v or any(x is None or not math.isfinite(x) for x in v) or not any(v):
+            return None
+        return np.array(v, float) / np.linalg.norm(np.array(v, float))
+
+    units = [unit(v) if label is not None else None for _, v, label in rows]
+    pairs, n = [], [0] * len(rows)
+    for a in range(len(rows)):
+        for b in range(a):
+            if units[a] is not None and units[b] is not None and rows[a][2] == rows[b][2] and len(units[a]) == len(units[b]) and float(units[a] @ units[b]) >= threshold:
+                pairs.append((a, b))
+                n[a] += 1
+                n[b] += 1
+    found = components([r[0] for r in rows], pairs)
+    return [(r[0], k, c, r[0] == c) for r, k, c in zip(rows, n, found)]
