@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, embed_dedup, mixing, near_dedup, suffix_dedup, token_counts, topk_search
+from tessella.llm import bpe, embed_dedup, license_scan, mixing, near_dedup, quality, suffix_dedup, token_counts, topk_search, toxicity
 from tessella.llm.cluster import table
 
 
@@ -31,6 +31,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_file(), with_ids=False)
 
@@ -40,6 +44,12 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(rows, rows.where("vec_id % 100 = 0"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, chain)
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -49,14 +59,21 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embed_dedup": op1_embed_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_mixing": op3_mixing,
+    "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
     "op6_topk": op6_topk,
+    "op7_toxicity": op7_toxicity,
     "op8_minhash": op8_minhash,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_licenses": op10_licenses,
 }
 
 OP3_SQL = r"""
