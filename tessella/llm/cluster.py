@@ -30,15 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, arrow_rows: int = 1000) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage, and a lost executor costs no recomputation.  The
-    files stay until :func:`release` or the end of the job.
+    files stay until :func:`release` or the end of the job.  Meanwhile Python
+    workers get at most ``arrow_rows`` rows at once, as texts can be long.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, str(arrow_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(rows, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

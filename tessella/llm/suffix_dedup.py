@@ -38,7 +38,7 @@ WINDOW, GRAM = 200, 64
 #: Bytes handled at once, and texts whose keys a task remembers.
 SLICE, SEEN = 1 << 19, 1 << 18
 #: Contexts of a gram that a range partition takes, and contexts sorted at once.
-HOT, BATCH = 20_000, 20_000
+HOT, BATCH = 5_000, 5_000
 
 
 class Rolling:
