@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe
+from tessella.llm.cluster import stage
 
 #: Lengths in a block of the two-level sums.
-BLOCK = 4096
+BLOCK = 64
 
 
 def histogram(docs: DataFrame, tokenizer_path: str, text: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
@@ -26,7 +27,8 @@ def histogram(docs: DataFrame, tokenizer_path: str, text: str = "text", by: tupl
     Null texts count as empty (length 0); repeated rows count each; null keys
     in ``by`` are a group of their own.
     """
-    return bpe.lengths(docs, tokenizer_path, text, by).groupBy(*by, "n_tokens").agg(F.count("*").alias("n_docs"))
+    counted = bpe.lengths(docs, tokenizer_path, text, by).groupBy(*by, "n_tokens").agg(F.count("*").alias("n_docs"))
+    return stage(counted, "lengths")  # the sums read it twice, the texts are encoded once
 
 
 def context_totals(hist: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
