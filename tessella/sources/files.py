@@ -14,7 +14,8 @@ def scan(spark: SparkSession, root: str, classify: bool = False, with_text: bool
 
     The build scan skips names that start with a dot and five folders and takes
     parsed extensions only; the classify scan skips other folders and takes
-    any file.  Content is only read where it is selected.
+    any file.  Content is only read where it is selected.  The file source
+    leaves out empty files.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").removeprefix("file://")
