@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 from pyspark import Broadcast
@@ -25,6 +26,22 @@ from pyspark.sql import types as T
 #: Fixed values of the byte-level format: the split pattern of the GPT-2 family.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Letters and numbers that Unicode has only since versions after 16.0; they
+#: are neither for the tokenizers library, whose tables end there.
+LATER_LETTERS = [
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F),
+    (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2),
+    (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE),
+    (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DF1, 0x11DF1), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3),
+    (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2),
+    (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96),
+    (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4),
+    (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+]
+LATER_NUMBERS = [
+    (0x11DE0, 0x11DE9), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16FF4, 0x16FF6),
+]
+
 #: Pieces remembered by a Python worker, and their greatest length in characters.
 CACHE, CACHED_LENGTH = 400_000, 40
 
@@ -89,6 +106,11 @@ class Bpe:
         self.added = {t["content"]: t["id"] for t in added}
         self.find_added = regex.compile("|".join(regex.escape(t) for t in self.added)) if added else None
         self.split = regex.compile(SPLIT)
+        late = ["".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in table) for table in (LATER_LETTERS, LATER_NUMBERS)]
+        letters, numbers = rf"[\p{{L}}--[{late[0]}]]", rf"[\p{{N}}--[{late[1]}]]"
+        exact = SPLIT.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{letters}{numbers}]").replace(r" ?\p{L}", f" ?{letters}").replace(r" ?\p{N}", f" ?{numbers}")
+        self.split_exact = regex.compile(exact, regex.V1)
+        self.needs_exact = re.compile(f"[^\\x00-{chr(LATER_LETTERS[0][0] - 1)}]").search
         self.fits: dict[tuple[int, int], bool] = {}
         self.known: dict[str, bytes] = {}
         self.ready = True
@@ -161,7 +183,8 @@ class Bpe:
 
     def _plain(self, text: str) -> bytes:
         known, out = self.known, []
-        for piece in self.split.findall(text):
+        split = self.split_exact if self.needs_exact(text) else self.split
+        for piece in split.findall(text):
             ids = known.get(piece)
             if ids is None:
                 ids = b"".join(i.to_bytes(4, "little") for i in self.encode_piece(piece.encode()))
