@@ -1,8 +1,9 @@
 """Toxicity by a classifier chain of linear models.
 
-Features of a text are its words and their beginnings, hashed.  Document counts
-of every feature, by category, over all labelled rows choose those that tell
-the categories apart.  The categories are then learned in order, each by a
+Features of a text are its words and their beginnings.  Document counts by
+category over all labelled rows choose those that tell the categories apart:
+first over hash buckets of all features, then exactly over the features in the
+buckets that stand out, so no two features are taken for one.  The categories are then learned in order, each by a
 regularised logistic regression on the chosen features and on the earlier
 categories' probabilities; in training these are out-of-fold predictions, so a
 later model never sees a probability fitted to the same row.
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 
 from tessella.llm.cluster import stage
 
-#: Feature buckets, features chosen for a category, labelled rows fitted on, folds.
-BUCKETS, CHOSEN, SAMPLE, FOLDS = 1 << 18, 192, 20_000, 3
+#: Hash buckets, buckets and features chosen for a category, labelled rows fitted on, folds.
+BUCKETS, STANDING, CHOSEN, SAMPLE, FOLDS = 1 << 16, 768, 192, 20_000, 3
+#: Labels (16 bytes each) that are broadcast at most; more are joined by shuffle.
+BROADCAST_LABELS = 4_000_000
 #: Lengths of the word beginnings used beside whole words.
 STARTS = (4, 5, 6)
 #: Words remembered by a worker.
@@ -32,32 +35,33 @@ CACHE = 300_000
 LANGUAGES, LEAST = 8, 20
 
 
-class Buckets(dict):
-    """The feature buckets of a word; with ``chosen`` only those, by their number."""
+def bucket(name: str) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(name) % BUCKETS
 
-    def __init__(self, chosen: dict[int, int] | None = None):
-        super().__init__()
-        self.chosen = chosen
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        import xxhash
+class Names(dict):
+    """What each feature of a word stands for; features that stand for nothing are left out."""
+
+    def __init__(self, meaning):
+        super().__init__()
+        self.meaning = meaning
 
+    def __missing__(self, word: str) -> tuple:
         if len(self) >= CACHE:
             self.clear()
         names = [word, *("^" + word[:n] for n in STARTS if len(word) >= n)]
-        found = tuple(xxhash.xxh3_64_intdigest(n) % BUCKETS for n in names)
-        if self.chosen is not None:
-            found = tuple(self.chosen[b] for b in found if b in self.chosen)
-        self[word] = found
+        found = self[word] = tuple(m for m in map(self.meaning, names) if m is not None)
         return found
 
 
-def features(text: str | None, buckets: Buckets) -> list[int]:
+def features(text: str | None, names: Names) -> list:
     import re
 
-    found: set[int] = set()
+    found: set = set()
     for word in set(re.findall(r"[^\W\d_]+", (text or "").lower())):
-        found.update(buckets[word])
+        found.update(names[word])
     return sorted(found)
 
 
@@ -75,20 +79,27 @@ class Linear:
     dense: object = None
     bias: float = 0.0
 
-    def fit(self, rows, dense, y, n_sparse: int, steps: int = 150, ridge: float = 3e-4) -> Linear:
-        """rows: (row, feature) of the ones.  Accelerated gradient descent."""
+    def fit(self, rows, dense, y, n_sparse: int, steps: int = 150, ridge: float = 1e-4) -> Linear:
+        """rows: (row, feature) of the ones.  Accelerated gradient descent.
+
+        Features are scaled to one size, so rare ones are learned as fast as
+        frequent ones.
+        """
         import numpy as np
 
         i, j = rows
         n, k = dense.shape
+        scale = np.concatenate([np.maximum(np.bincount(j, minlength=n_sparse), 1), np.maximum((dense**2).sum(0), 1)]) / n
+        scale = 1 / np.sqrt(scale)
+        own = scale[:n_sparse]
         z = np.zeros(n_sparse + k + 1)
         w, before, t = z.copy(), z.copy(), 1.0
 
         def times(w):
-            return np.bincount(i, weights=w[j], minlength=n) + dense @ w[n_sparse:-1] + w[-1]
+            return np.bincount(i, weights=(w[:n_sparse] * own)[j], minlength=n) + dense @ (w[n_sparse:-1] * scale[n_sparse:]) + w[-1]
 
         def back(r):
-            return np.concatenate([np.bincount(j, weights=r[i], minlength=n_sparse), dense.T @ r, [r.sum()]])
+            return np.append(np.concatenate([np.bincount(j, weights=r[i], minlength=n_sparse), dense.T @ r]) * scale, r.sum())
 
         v = np.ones(len(z)) / len(z) ** 0.5
         for _ in range(12):
@@ -101,7 +112,7 @@ class Linear:
             w = z - step * grad
             t, last = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
             z, before = w + (last - 1) / t * (w - before), w
-        self.sparse, self.dense, self.bias = w[:n_sparse], w[n_sparse:-1], float(w[-1])
+        self.sparse, self.dense, self.bias = w[:n_sparse] * own, w[n_sparse:-1] * scale[n_sparse:], float(w[-1])
         return self
 
     def predict(self, rows, dense):
@@ -114,7 +125,7 @@ class Linear:
 @dataclass
 class Chain:
     categories: list[str]
-    chosen: dict[int, int]
+    chosen: dict[str, int]
     models: list = field(default_factory=list)
     threshold: float = 0.5
 
@@ -142,7 +153,7 @@ class Chain:
         best = np.flatnonzero(wrong == wrong.min())
         k = int(best[len(best) // 2])
         edge = np.concatenate([[1.0], p[order], [0.0]])
-        self.threshold = float(min(0.9, max(0.1, (edge[k] + edge[k + 1]) / 2)))
+        self.threshold = float(min(0.9, max(0.2, (edge[k] + edge[k + 1]) / 2)))
         return self
 
     def predict(self, rows, n: int):
@@ -172,63 +183,74 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Chain | N
     import numpy as np
 
     y = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("__toxic"))
-    known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).join(y, "doc_id")
+    y = stage(y.where("doc_id is not null"), "labels")
+    small = y.count() <= BROADCAST_LABELS
+    known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).join(F.broadcast(y) if small else y, "doc_id")
     totals = known.groupBy("lang", "__toxic").agg(F.count("*").alias("n")).orderBy(F.desc("__toxic"), F.desc("n"), "lang").limit(1000).collect()
     n, positive = sum(r["n"] for r in totals), sum(r["n"] for r in totals if r["__toxic"])
     if not positive or positive == n:
         return None
     langs = [r["lang"] for r in totals if r["__toxic"] and r["n"] >= LEAST and r["lang"] is not None][:LANGUAGES]
     categories = [*(f"toxic_{x}" for x in langs), "toxic"]
+    inside = [*(r["n"] for x in langs for r in totals if r["__toxic"] and r["lang"] == x), positive]
+    columns = [f"c{k}" for k in range(len(categories) + 1)]  # the last counts all rows
 
     def count(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        buckets, total = Buckets(), np.zeros((len(categories) + 1, BUCKETS), np.int64)
+        names, total = Names(bucket), np.zeros((len(columns), BUCKETS), np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 for text, lang, toxic in zip(*(batch.slice(at, 200).column(k).to_pylist() for k in range(3))):
-                    found = features(text, buckets)
+                    found = features(text, names)
                     total[-1][found] += 1
                     if toxic:
                         total[-2][found] += 1
                         if lang in langs:
                             total[langs.index(lang)][found] += 1
         used = np.flatnonzero(total[-1])
-        for at in range(0, len(used), 10_000):
-            b = used[at : at + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(b), *(pa.array(t[b]) for t in total)], names=["bucket", *(f"c{k}" for k in range(len(total)))])
-
-    columns = [f"c{k}" for k in range(len(categories) + 1)]
-    counts = known.select("text", "lang", "__toxic").mapInArrow(count, "bucket long, " + ", ".join(f"{c} long" for c in columns))
-    counts = stage(counts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in columns]), "counts")
-    sizes = {r["lang"]: r["n"] for r in totals if r["__toxic"]}
-    chosen: dict[int, int] = {}
-    for k, category in enumerate(categories):
-        inside = sizes[langs[k]] if k < len(langs) else positive
-        a, b = F.col(f"c{k}"), F.col(columns[-1]) - F.col(f"c{k}")
-        p, q = (a + 0.5) / (inside + 1), (b + 0.5) / (n - inside + 1)
-        gain = F.abs(F.log(p / q)) * F.sqrt(F.greatest(p, q))
-        for r in counts.where(F.col(columns[-1]) >= 3).orderBy(gain.desc(), "bucket").limit(CHOSEN).collect():
-            chosen.setdefault(r["bucket"], len(chosen))
-    part = min(1.0, SAMPLE / n)
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)))
-
-    def choose(batches: Iterator) -> Iterator:
+        yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(t[used]) for t in total)], names=["feature", *columns])
+
+    def standing_out(counts: DataFrame, most: int) -> dict:
+        """Numbers of the features that tell a category apart best, ``most`` for each."""
+        found: dict = {}
+        for k in range(len(categories)):
+            a, b = F.col(f"c{k}"), F.col(columns[-1]) - F.col(f"c{k}")
+            p, q = (a + 0.5) / (inside[k] + 1), (b + 0.5) / (n - inside[k] + 1)
+            gain = F.abs(F.log(p / q)) * F.sqrt(F.greatest(p, q))
+            for r in counts.where(F.col(columns[-1]) >= 3).orderBy(gain.desc(), "feature").limit(most).collect():
+                found.setdefault(r["feature"], len(found))
+        return found
+
+    of_text = known.select("text", "lang", "__toxic")
+    counts = of_text.mapInArrow(count, "feature long, " + ", ".join(f"{c} long" for c in columns))
+    buckets = standing_out(stage(counts.groupBy("feature").agg(*[F.sum(c).alias(c) for c in columns]), "buckets"), STANDING)
+
+    def name(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        buckets = Buckets(chosen)
+        names = Names(lambda f: f if bucket(f) in buckets else None)
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 s = batch.slice(at, 200)
-                found = [features(t, buckets) for t in s.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([s.column(1), s.column(2), s.column(3), pa.array(found, pa.list_(pa.int32()))], names=["lang", "toxic", "fold", "features"])
+                found = [features(t, names) for t in s.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(s.column(k) for k in range(1, 5)), pa.array(found, pa.list_(pa.string()))], names=["lang", "toxic", "fold", "part", "features"])
 
     fold = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
-    sample = stage(picked.select("text", "lang", F.col("__toxic").alias("toxic"), fold).mapInArrow(choose, "lang string, toxic int, fold int, features array<int>"), "sample")
-    rows = sample.orderBy("toxic", "lang", "fold", "features").collect()
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("part")
+    named = known.select("text", "lang", F.col("__toxic").alias("toxic"), fold, part).mapInArrow(name, "lang string, toxic int, fold int, part long, features array<string>")
+    named = stage(named, "features")
+    toxic = F.col("toxic") == 1
+    sums = [F.count(F.when(toxic & (F.col("lang") == x), 1)) for x in langs] + [F.count(F.when(toxic, 1)), F.count("*")]
+    exact = named.select("lang", "toxic", F.explode("features").alias("feature")).groupBy("feature").agg(*[c.alias(k) for c, k in zip(sums, columns)])
+    chosen = standing_out(stage(exact, "features"), CHOSEN)
+    sample = named.where(F.col("part") < int(min(1.0, SAMPLE / n) * (1 << 20)))
+    kept = F.array_intersect("features", F.array(*[F.lit(f) for f in chosen])).alias("features")
+    rows = sample.select("toxic", "lang", "fold", kept).orderBy("toxic", "lang", "fold", "features").collect()
     truth = np.array([[float(r["toxic"] and r["lang"] == x) for x in langs] + [float(r["toxic"])] for r in rows])
-    return Chain(categories, chosen).fit(ones([r["features"] for r in rows]), truth, np.array([r["fold"] for r in rows]))
+    numbered = [sorted(chosen[f] for f in r["features"]) for r in rows]
+    return Chain(categories, chosen).fit(ones(numbered), truth, np.array([r["fold"] for r in rows]))
 
 
 def score(docs: DataFrame, chain: Chain | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -250,11 +272,11 @@ def score(docs: DataFrame, chain: Chain | None, keep: tuple[str, ...] = ("doc_id
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        buckets = Buckets(chain.chosen)
+        names = Names(chain.chosen.get)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = [features(t, buckets) for t in part.column(part.num_columns - 1).to_pylist()]
+                found = [features(t, names) for t in part.column(part.num_columns - 1).to_pylist()]
                 p = chain.predict(ones(found), len(found))
                 # a text without any chosen feature has nothing to be judged by
                 last = [x if f else min(x, chain.threshold / 2) for x, f in zip(p[:, -1].tolist(), found)]
