@@ -135,10 +135,14 @@ class Index:
         out = set()
         for k, hits in groups:
             template = self.words[k]
-            low, high = min(p - i for i, p in hits), max(p - i for i, p in hits)
-            matched, first, end = align(template, text, low - BAND, high + BAND)
-            if matched and matched >= least * len(template):
-                out.add((self.names[k], matched / len(template), matched, first, end))
+            low, high = min(p - i for i, p in hits) - BAND, max(p - i for i, p in hits) + BAND
+            parts = [(max(0, low), min(len(text), len(template) + high))]
+            while parts:  # a band can hold several copies: go on beside each match
+                a, b = parts.pop()
+                matched, first, end = align(template, text, low, high, a, b)
+                if matched and matched >= least * len(template):
+                    out.add((self.names[k], matched / len(template), matched, first, end))
+                    parts += [(a, first), (end, b)]
         return longest(sorted(out, key=lambda m: (m[3], -m[4], m[0])))
 
 
@@ -151,8 +155,8 @@ def longest(found: list) -> list:
     return sorted(kept, key=lambda m: (m[3], m[4], m[0]))
 
 
-def align(template: list[bytes], text: list[bytes], low: int, high: int) -> tuple[int, int, int]:
-    """Best local alignment on the diagonals low..high (text minus template place).
+def align(template: list[bytes], text: list[bytes], low: int, high: int, start: int = 0, stop: int | None = None) -> tuple[int, int, int]:
+    """Best local alignment on the diagonals low..high (text minus template place), in text[start:stop].
 
     Equal words gain 2, others and gaps cost 1.  Returns the matched words and
     the span of the text; of equal scores the first.
@@ -162,7 +166,7 @@ def align(template: list[bytes], text: list[bytes], low: int, high: int) -> tupl
     nothing = (0, 0, -1)
     for i, word in enumerate(template):
         now: dict[int, tuple[int, int, int]] = {}
-        for p in range(max(0, i + low), min(len(text), i + high + 1)):
+        for p in range(max(start, i + low), min(len(text) if stop is None else stop, i + high + 1)):
             s, m, first = before.get(p - 1, nothing)
             cell = (s + 2, m + 1, p if first < 0 or s == 0 else first) if text[p] == word else (s - 1, m, first)
             for s, m, first in (before.get(p, nothing), now.get(p - 1, nothing)):
