@@ -295,8 +295,9 @@ def removals(docs: DataFrame, text: str = "text", with_text: bool = False) -> Da
     texts = docs.select(*text_key(F.col(text)), F.col(text).cast("string").alias("text")).where(F.octet_length("text") >= WINDOW)
     found = stage(anchors(texts), "anchors")
     by_gram = found.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("least"), F.max("c").alias("most")).where("n > 1")
+    by_gram = stage(by_gram, "grams")  # so that a frequent gram's partition can be split in the join
     led = stage(found.join(by_gram, "g").withColumn("same", F.expr("least = most")).drop("n", "least", "most"), "led")
-    release(found)
+    release(found, by_gram)
     # of the grams with several contexts, one anchor of each context is sorted
     open_ = led.where("not same")
     kinds = open_.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "low")).alias("first"))
