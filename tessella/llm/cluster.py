@@ -72,8 +72,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has two columns of one ordered type; the result has ``node`` and
     ``component`` (the least node reachable) for each node on some edge that is
-    no loop.  Every step is a hash aggregation and an equi-join, so a hub only
-    makes a skewed join, which adaptive execution splits; no group is gathered.
+    no loop.  Every step is a hash aggregation and an equi-join; no group is
+    gathered.  Least neighbours are staged, so that adaptive execution sees two
+    plain shuffles under each join and splits a hub's partition.
     """
     a, b = edges.columns
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
@@ -86,14 +87,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
             )
         seen = (mark["n"], mark["h"])
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stage(large.where("u <> v").distinct(), "large")
+        floor = stage(large.groupBy("u").agg(F.min("v").alias("m")), "floor")
         joined = large.join(floor, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(floor)
         after = stage(small.distinct(), "links")
-        release(now)
+        release(now, least, large, floor)
         now = after
 
 
