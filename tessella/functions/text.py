@@ -18,7 +18,9 @@ IDENTIFIER_SPLIT = (
 def tokens(text: Column) -> Column:
     """Lower-case identifier parts of two bytes or more, each once, in order."""
     parts = F.transform(F.split(text, IDENTIFIER_SPLIT), lambda w: F.lower(w))
-    return F.array_distinct(F.filter(parts, lambda w: F.octet_length(w) >= 2))
+    parts = F.array_distinct(F.filter(parts, lambda w: F.octet_length(w) >= 2))
+    # most words are one plain part and need no splitting
+    return F.when(text.rlike("^[a-z0-9]{2,}$"), F.array(text)).otherwise(parts)
 
 
 def document_tokens(path: Column, symbols: Column | None = None) -> Column:
@@ -117,9 +119,12 @@ def executable(mode: Column) -> Column:
 
 def minified(text: Column) -> Column:
     """Blank lines dropped, common indentation and trailing space removed."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(F.translate(x, "\t\r", "  ")) != "")
-    indent = F.array_min(F.transform(lines, lambda x: F.length(F.regexp_extract(x, r"^([ \t]*)", 1))))
-    return F.array_join(F.transform(lines, lambda x: F.regexp_replace(F.substr(x, indent + 1), r"[ \t\r]+$", "")), "\n")
+    # whole-text expressions; (?d) makes a newline the only line end
+    text = F.regexp_replace(text, r"(?dm)[ \t\r]+$", "")
+    text = F.regexp_replace(F.regexp_replace(text, r"\n{2,}", "\n"), r"(?d)^\n|\n\z", "")
+    indent = F.array_min(F.transform(F.regexp_extract_all(text, F.lit(r"(?dm)^([ \t]*)"), F.lit(1)), lambda x: F.length(x)))
+    pattern = F.concat(F.lit(r"(?dm)^[ \t]{"), F.coalesce(indent, F.lit(0)).cast("string"), F.lit("}"))
+    return F.when(indent > 0, F.regexp_replace(text, pattern, F.lit(""))).otherwise(text)
 
 
 def any_of(conditions) -> Column:

@@ -38,7 +38,7 @@ class Index:
         self.terms = documents.select("path", X.document_tokens(F.col("path"), F.col("symbols")).alias("terms"))
 
     def postings(self) -> DataFrame:
-        """``path, term, tf``."""
+        """``path, term, tf``; counts are summed before the shuffle."""
         return self.terms.select("path", F.explode("terms").alias("term")).groupBy("path", "term").agg(F.count("*").alias("tf"))
 
     def document_frequency(self) -> DataFrame:
@@ -105,10 +105,16 @@ class Index:
 def ranked(scores: DataFrame, name: str) -> DataFrame:
     """``path`` and its rank from 1, by score and then path.
 
-    Ranks are global, so the window has one partition; it holds (path, score)
-    of matches only, sorts with spilling, and needs no text.
+    A distributed sort: rows are dealt into ranges, ranked within their range,
+    and shifted by the number of rows in the ranges before it.
     """
-    return scores.select("path", F.row_number().over(Window.orderBy(F.desc("score"), "path")).alias(name))
+    dealt = scores.repartitionByRange(F.desc("score"), F.asc("path")).withColumn("part", F.spark_partition_id())
+    dealt = stage(dealt.select("path", "score", "part"), "ranges")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each range
+    shift = dealt.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("score"), "path"))
+    return dealt.withColumn("own", own).join(F.broadcast(shift), "part").select("path", (F.col("own") + F.col("shift")).alias(name))
 
 
 def fuse(first: DataFrame, second: DataFrame, k: int = FUSION) -> DataFrame:

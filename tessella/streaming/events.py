@@ -1,8 +1,7 @@
 """File events: trigger rules, debouncing, rate limits and incremental builds.
 
-Each stateful operator has a batch form (a fold over a key's ordered times) and
-a streaming form with the same result; the streaming state of a key is one
-timestamp or two numbers.
+Stateful operators fold over a key's events in time order, in a batch or in a
+stream; the state of a key is one timestamp or two numbers.
 """
 
 from __future__ import annotations
@@ -61,26 +60,49 @@ def triggered(events: DataFrame, triggers: list[Trigger]) -> DataFrame:
 def debounced(events: DataFrame, keys: list[str], window_us: int, ts: str = "ts") -> DataFrame:
     """``keys, ts`` of the events that fire: the first, then each at least a window after the last that fired.
 
-    Suppressed events do not extend the pause.  A native fold over each key's
-    sorted times; the state is the last firing.
+    Suppressed events do not extend the pause.
     """
-    return _folded(events, keys, ts, lambda acc, t: acc["last"].isNull() | (t - acc["last"] >= window_us))
+
+    def step(last, t):
+        return (t, True) if last is None or t - last >= window_us else (last, None)
+
+    return _folded(events, keys, ts, step).drop("kept")
 
 
 def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def _folded(events: DataFrame, keys: list[str], ts: str, fires) -> DataFrame:
-    times = events.groupBy(*keys).agg(F.sort_array(F.collect_list(micros(ts))).alias("times"))
-    zero = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("fired"))
-
-    def step(acc, t):
-        hit = fires(acc, t)
-        return F.struct(F.when(hit, t).otherwise(acc["last"]).alias("last"), F.when(hit, F.concat(acc["fired"], F.array(t))).otherwise(acc["fired"]).alias("fired"))
+def _folded(events: DataFrame, keys: list[str], ts: str, step) -> DataFrame:
+    """``keys, ts, kept``: a fold over each key's events in time order.
 
-    fired = F.aggregate("times", zero, step, lambda acc: acc["fired"])
-    return times.select(*keys, F.explode(fired).alias("__t")).select(*keys, F.timestamp_micros("__t").cast(events.schema[ts].dataType).alias(ts))
+    ``step(state, time)`` gives the next state and what to keep (None: no row).
+    Partitions are sorted by key and time and streamed, so a task holds one
+    batch and one state, however many events a key has.
+    """
+    rows = events.select(*keys, micros(ts).alias("__t")).repartition(*keys).sortWithinPartitions(*keys, "__t")
+    out = T.StructType([*(events.schema[k] for k in keys), T.StructField("__t", T.LongType()), T.StructField("kept", T.BooleanType())])
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        before, state = None, None
+        for batch in batches:
+            at, kept = [], []
+            columns = [batch.column(i).to_pylist() for i in range(len(keys))]
+            for i, (key, t) in enumerate(zip(zip(*columns), batch.column(len(keys)).to_pylist())):
+                if key != before:
+                    before, state = key, None
+                state, keep = step(state, t)
+                if keep is not None:
+                    at.append(i)
+                    kept.append(keep)
+            chosen = pa.array(at, pa.int32())
+            columns = [batch.column(i).take(chosen) for i in range(len(keys) + 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.bool_())], names=out.names)
+
+    found = rows.mapInArrow(run, out)
+    return found.select(*keys, F.timestamp_micros("__t").cast(events.schema[ts].dataType).alias(ts), "kept")
 
 
 def debounced_stream(events: DataFrame, keys: list[str], window_us: int, ts: str = "ts", watermark: str = "1 day") -> DataFrame:
@@ -120,18 +142,15 @@ def trailing_debounced(events: DataFrame, keys: list[str], gap: str, ts: str = "
 
 def rate_limited(calls: DataFrame, keys: list[str], rate: float, ts: str = "ts") -> DataFrame:
     """``keys, ts, allowed`` by a token bucket: ``rate`` tokens a second, at most ``rate``, one a call; 0 allows all."""
-    times = calls.groupBy(*keys).agg(F.sort_array(F.collect_list(micros(ts))).alias("times"))
-    item = "array<struct<t:bigint,allowed:boolean>>"
-    zero = F.struct(F.lit(float(rate)).alias("tokens"), F.lit(None).cast("long").alias("last"), F.array().cast(item).alias("out"))
-
-    def step(acc, t):
-        gained = F.coalesce((t - acc["last"]) / 1e6 * F.lit(float(rate)), F.lit(0.0))
-        have = F.least(F.lit(float(rate)), acc["tokens"] + gained)
-        ok = (have >= 1.0) | F.lit(rate == 0)
-        return F.struct(F.when(ok, have - 1.0).otherwise(have).alias("tokens"), t.alias("last"), F.concat(acc["out"], F.array(F.struct(t.alias("t"), ok.alias("allowed")))).alias("out"))
-
-    out = F.aggregate("times", zero, step, lambda acc: acc["out"])
-    return times.select(*keys, F.explode(out).alias("o")).select(*keys, F.timestamp_micros("o.t").cast(calls.schema[ts].dataType).alias(ts), F.col("o.allowed").alias("allowed"))
+    rate = float(rate)
+
+    def step(state, t):
+        tokens, last = (rate, t) if state is None else state
+        tokens = min(rate, tokens + (t - last) / 1e6 * rate)
+        allowed = rate == 0 or tokens >= 1
+        return (tokens - 1 if allowed else tokens, t), allowed
+
+    return _folded(calls, keys, ts, step).withColumnRenamed("kept", "allowed")
 
 
 def commands(fired: DataFrame, triggers: list[Trigger]) -> DataFrame:
