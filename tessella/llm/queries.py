@@ -124,4 +124,34 @@ SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, v.
 FROM v JOIN c ON v.vec_id = c.a LEFT JOIN n ON v.vec_id = n.a
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_embed_dedup": OP1_SQL, "op3_mixing": OP3_SQL, "op6_topk": OP6_SQL}
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE 100 * k >= 85 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
+FROM w JOIN c ON w.doc_id = c.a LEFT JOIN n ON w.doc_id = n.doc_id
+"""
+
+OP9_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 400)) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(n - 199, 0))) AS p FROM d)),
+m AS (SELECT s FROM w GROUP BY s HAVING count(*) > 1),
+st AS (SELECT doc_id, p FROM w SEMI JOIN m ON w.s = m.s),
+g AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 THEN 0 ELSE 1 END AS fresh FROM st),
+i AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM g),
+r AS (SELECT doc_id, k, min(p) AS a, max(p) + 200 AS b FROM i GROUP BY doc_id, k),
+gap AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM r UNION ALL SELECT doc_id, max(b), NULL FROM r GROUP BY doc_id),
+kept AS (SELECT d.doc_id, string_agg(substr(h, 2 * gap.a + 1, 2 * (coalesce(gap.b, n) - gap.a)), '' ORDER BY gap.a) AS h FROM d JOIN gap ON d.doc_id = gap.doc_id GROUP BY d.doc_id),
+sums AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN sums ON d.doc_id = sums.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op9_suffix_dedup": OP9_SQL, "op8_minhash": OP8_SQL, "op1_embed_dedup": OP1_SQL, "op3_mixing": OP3_SQL, "op6_topk": OP6_SQL}
