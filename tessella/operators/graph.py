@@ -55,6 +55,21 @@ def node_exists(edges: DataFrame, path: str) -> bool:
     return not edges.where((F.col("src") == path) | (F.col("dst") == path)).limit(1).isEmpty()
 
 
+def parsed_on_miss(edges: DataFrame, sources: DataFrame, path: str) -> DataFrame:
+    """``edges``, with the imports of ``path`` parsed from ``sources`` (``path, text``) if it has no edge out yet."""
+    from tessella.operators.imports import import_edges
+
+    if not edges.where(F.col("src") == path).limit(1).isEmpty():
+        return edges
+    return edges.unionByName(import_edges(sources.where(F.col("path") == path)))
+
+
+def related_or_parse(edges: DataFrame, sources: DataFrame, path: str, rel: str | None = None, way: str = FORWARD) -> DataFrame:
+    """``related``, after parsing the file if the graph does not know the node."""
+    known = edges if node_exists(edges, path) else parsed_on_miss(edges, sources, path)
+    return related(known, path, rel, way)
+
+
 def nodes(edges: DataFrame) -> DataFrame:
     """``node``: every end of an edge, once."""
     return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
@@ -195,6 +210,13 @@ def module_stats(edges: DataFrame, module: str) -> DataFrame:
     return files.crossJoin(counted).withColumn("coverage", share)
 
 
+def impact_attributes(edges: DataFrame, path: str, max_depth: int = DEPTHS["trigger"]) -> DataFrame:
+    """``path, key, value`` rows that tell each dependent of a changed file how it is reached."""
+    reached = impact(edges, path, max_depth)
+    value = F.concat("relation", F.lit(" (depth "), F.col("depth").cast("string"), F.lit(")"))
+    return reached.select("path", F.lit("user.vfs.impact").alias("key"), value.alias("value"))
+
+
 def diff(current: DataFrame, known: DataFrame) -> DataFrame:
-    """Edges of ``current`` that are not in ``known`` (by all five columns, as sets)."""
-    return current.exceptAll(known).distinct()
+    """Edges of ``current`` that are not in ``known`` by all five columns."""
+    return current.join(known, current.columns, "left_anti")

@@ -62,6 +62,14 @@ def compatible(result: DataFrame) -> DataFrame:
     return result.select(F.when(until > 0, F.slice(cells, F.lit(1), until.cast("int") - 1)).otherwise(cells).alias("cells"))
 
 
+def findings(result: DataFrame | Failure, spark: SparkSession) -> DataFrame:
+    """``path, severity, detail``: the first three columns of a result as strings; none for a failure."""
+    if isinstance(result, Failure):
+        return spark.createDataFrame([], "path string, severity string, detail string")
+    columns = [F.col(f"`{c}`").cast("string") for c in result.columns[:3]] + [F.lit("")] * 3
+    return result.select(*[c.alias(n) for c, n in zip(columns, ("path", "severity", "detail"))])
+
+
 def check(spark: SparkSession, rule: Rule) -> DataFrame | Failure:
     try:
         return rows(spark, rule)

@@ -38,6 +38,11 @@ def _quoted(s: str) -> str:
     return re.escape(s)
 
 
+def languages_seen(files: DataFrame) -> DataFrame:
+    """``language, cnt`` of scanned files."""
+    return files.where("language is not null").groupBy("language").agg(F.count("*").alias("cnt"))
+
+
 def changed(files: DataFrame, since: Column | None) -> DataFrame:
     """Files modified after a marker; all without one, and those whose time is unknown."""
     return files if since is None else files.where(F.col("modified").isNull() | (F.col("modified") > since))
@@ -125,3 +130,56 @@ def names_under(files: DataFrame, folder: str) -> DataFrame:
     return child.groupBy("name").agg(F.max("is_folder").alias("is_folder"))
 
 
+
+
+def read_mounts(path: str) -> list[dict]:
+    """The mount table of a YAML file (``name, backend_type, path``); none if it is missing or blank."""
+    import os
+
+    import yaml
+
+    if not os.path.exists(path):
+        return []
+    with open(path) as f:
+        return yaml.safe_load(f) or []
+
+
+def write_mounts(path: str, mounts: list[dict]) -> None:
+    import yaml
+
+    with open(path, "w") as f:
+        yaml.safe_dump(mounts, f, sort_keys=False)
+
+
+class ObjectStore:
+    """Objects under a root that Hadoop's file systems can read (``s3a://``, ``file://``, ...)."""
+
+    def __init__(self, spark: SparkSession, root: str, writable: bool = False):
+        self.spark, self.root, self.writable = spark, root.rstrip("/"), writable
+
+    def objects(self, prefix: str = "") -> DataFrame:
+        """``key, size, modified`` of all objects whose key starts with ``prefix``; content is not read."""
+        raw = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.root)
+        base = self.root.split("://", 1)[-1].strip("/")
+        key = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9]+:/+", ""), "^" + _quoted(base) + "/", "")
+        return raw.select(key.alias("key"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")).where(F.col("key").startswith(prefix))
+
+    def get(self, key: str) -> DataFrame:
+        """``key, content, hash`` of one object."""
+        raw = self.spark.read.format("binaryFile").load(f"{self.root}/{key}")
+        return raw.select(F.lit(key).alias("key"), "content", digest(F.col("content")).alias("hash"))
+
+    def put(self, key: str, content: bytes) -> str:
+        """Write one object; its digest."""
+        import hashlib
+
+        if not self.writable:
+            raise PermissionError(f"{self.root} is read-only")
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{key}")
+        out = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+        try:
+            out.write(bytearray(content))
+        finally:
+            out.close()
+        return "sha256:" + hashlib.sha256(content).hexdigest()

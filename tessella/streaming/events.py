@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.functions.text import any_of, file_name, rendered
+from tessella.functions.text import any_of, attribute_key, digest, file_name, rendered
 from tessella.operators.imports import import_edges
 from tessella.sources.edges import EdgeStore, new_edges
 
@@ -163,6 +163,20 @@ def commands(fired: DataFrame, triggers: list[Trigger]) -> DataFrame:
     return fired.select("trigger", "path", out.alias("command")).where("command is not null")
 
 
+def uploads(files: DataFrame, backend: str) -> DataFrame:
+    """``path, key, value`` rows that an upload of ``path, content, ts`` leaves: backend, hash, upload time."""
+    when = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    rows = F.array(*[F.struct(F.lit(f"user.vfs.{k}").alias("key"), v.alias("value")) for k, v in (("backend", F.lit(backend)), ("hash", digest(F.col("content"))), ("uploaded_at", when))])
+    return files.select("path", F.explode(rows).alias("e")).select("path", "e.key", "e.value")
+
+
+def after_action(fired: DataFrame, setting: str) -> DataFrame:
+    """``path, key, value`` rows of a trigger's ``key=value`` action; the value may be a template."""
+    key, _, value = setting.partition("=")
+    when = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return fired.select("path", attribute_key(F.lit(key.strip())).alias("key"), rendered(value.strip(), F.col("path"), when).alias("value"))
+
+
 def parse_and_diff(files: DataFrame, store: EdgeStore) -> int:
     """Append the edges of changed files that the store lacks; how many.  Edges are never retracted."""
     fresh = new_edges(import_edges(files), store.raw())

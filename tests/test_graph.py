@@ -137,3 +137,15 @@ def test_malformed_extension(spark):
     files = spark.createDataFrame([("a",), ("b",)], "path string")
     assert associate.extension_edges(files, "no arrow", "r").isEmpty()
     assert associate.extension_edges(files, "a → *", "r").count() == 1
+
+
+def test_parsing_on_a_miss(spark):
+    sources = spark.createDataFrame([("a.py", "import os\n"), ("b.py", "import sys\n")], "path string, text string")
+    e = edges(spark, [("b.py", "pkg:known")])
+    assert [r["dst"] for r in graph.related_or_parse(e, sources, "a.py").collect()] == ["pkg:os"]
+    assert [r["dst"] for r in graph.related_or_parse(e, sources, "b.py").collect()] == ["pkg:known"]
+
+
+def test_impact_attributes(spark):
+    got = {r["path"]: r["value"] for r in graph.impact_attributes(edges(spark, CHAIN), "c").collect()}
+    assert got == {"b": "imports (depth 1)", "a": "imports (depth 2)"}

@@ -130,3 +130,34 @@ def test_triggers(spark):
     assert got == {("x/a.go", "graph-go"), ("c.py", "any")}
     fired_ = spark.createDataFrame([("fmt", "a/b.go", T0)], "trigger string, path string, ts timestamp")
     assert V.commands(fired_, [V.Trigger("fmt", "*", command="gofmt {{ .FilePath }} {{ .Timestamp }}")]).first()["command"] == "gofmt a/b.go 2024-01-01T00:00:00Z"
+
+
+def test_actions(spark):
+    rows = spark.createDataFrame([("a/b.go", b"x", T0)], "path string, content binary, ts timestamp")
+    got = {r["key"]: r["value"] for r in V.uploads(rows, "s3").collect()}
+    assert got["user.vfs.backend"] == "s3" and got["user.vfs.hash"].startswith("sha256:") and got["user.vfs.uploaded_at"] == "2024-01-01T00:00:00Z"
+    assert tuple(V.after_action(rows, "status=seen {{ .FilePath }}").first()) == ("a/b.go", "user.vfs.status", "seen a/b.go")
+
+
+def test_objects(spark, tmp_path):
+    import pytest
+
+    store = S.ObjectStore(spark, f"file://{tmp_path}/o", writable=True)
+    digest = store.put("d/k.txt", b"hello")
+    assert store.get("d/k.txt").first()["hash"] == digest
+    assert [(r["key"], r["size"]) for r in store.objects("d/").collect()] == [("d/k.txt", 5)]
+    with pytest.raises(PermissionError):
+        S.ObjectStore(spark, f"file://{tmp_path}/o").put("x", b"")
+
+
+def test_mount_file(tmp_path):
+    path = str(tmp_path / "mounts.yaml")
+    assert S.read_mounts(path) == []
+    S.write_mounts(path, [{"name": "a", "backend_type": "git", "path": "/x"}])
+    assert S.read_mounts(path)[0]["backend_type"] == "git"
+
+
+def test_findings(spark):
+    got = rules.findings(spark.sql("SELECT 'a' AS p, 1 AS s"), spark).first()
+    assert tuple(got) == ("a", "1", "")
+    assert rules.findings(rules.Failure("x", "e"), spark).isEmpty()
