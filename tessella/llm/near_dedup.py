@@ -29,6 +29,8 @@ BANDS, ROWS = 25, 5
 SLACK = 6
 #: Documents of a band bucket, and shingles and documents of a candidate group, in one block.
 BLOCK_DOCS, BLOCK_SHINGLES = 4096, 4_000_000
+#: Documents of a candidate group that are always one block, and blocks made for parallelism at most.
+SPLIT_DOCS, SPLITS = 128, 32
 #: Distinct words that a worker remembers.
 CACHE = 400_000
 
@@ -252,7 +254,9 @@ def links(texts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     ``members`` has ``node, grp, n, k1, k2``; ``texts`` has ``k1, k2, text``.
     """
     sizes = members.groupBy("grp").agg(F.sum("n").alias("w"), F.count("*").alias("m"))
-    blocks = F.greatest(F.ceil(F.col("w") / BLOCK_SHINGLES), F.ceil(F.col("m") / BLOCK_DOCS))
+    # a group is split for parallelism long before it has to be for memory
+    each = F.greatest(F.lit(min(SPLIT_DOCS, BLOCK_DOCS)), F.least(F.lit(BLOCK_DOCS), F.ceil(F.col("m") / SPLITS)))
+    blocks = F.greatest(F.ceil(F.col("w") / BLOCK_SHINGLES), F.ceil(F.col("m") / each))
     asked = members.join(sizes.select("grp", blocks.alias("blocks")), "grp").select("k1", "k2", "node", "grp", "blocks")
 
     def sets(batches: Iterator) -> Iterator:
