@@ -18,7 +18,8 @@ from tessella.llm.queries import tokenizer_file
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain calls toxic go; all others stay as they are."""
     chain = toxicity.train(docs, cluster.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, chain, keep=tuple(docs.columns)).where("not toxic").select(*docs.columns)
+    names = ("__tsl_toxicity", "__tsl_toxic", "__tsl_categories")
+    return toxicity.score(docs, chain, keep=tuple(docs.columns), names=names).where("not __tsl_toxic").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -106,10 +106,10 @@ def mixed(docs: DataFrame, max_epochs: int = 3, seed: int = 0) -> DataFrame:
     alike = Window.partitionBy("__id", "__source", "__size")
     left = docs.select("*", key[0].alias("__id"), key[1].alias("__source"), key[2])
     left = left.withColumn("__k", F.row_number().over(alike.orderBy("text")))
-    right = mix(docs, max_epochs, seed).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "epochs")
-    right = right.withColumn("__k", F.row_number().over(alike.orderBy("epochs"))).select(*[F.col(c).alias(c + "r") for c in ("__id", "__source", "__size", "__k")], "epochs")
+    right = mix(docs, max_epochs, seed).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("epochs").alias("__epochs"))
+    right = right.withColumn("__k", F.row_number().over(alike.orderBy("__epochs"))).select(*[F.col(c).alias(c + "r") for c in ("__id", "__source", "__size", "__k")], "__epochs")
     same = F.lit(True)
     for c in ("__id", "__source", "__size", "__k"):
         same &= F.col(c).eqNullSafe(F.col(c + "r"))
-    j = left.join(right, same).where("epochs > 0")
-    return j.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int")))).select(*docs.columns)
+    j = left.join(right, same).where("__epochs > 0")
+    return j.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__epochs").cast("int")))).select(*docs.columns)

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from tessella.llm import bpe, cluster, embed_dedup, license_scan, mixing, near_dedup, quality, suffix_dedup, token_counts, topk_search, toxicity
 from tessella.llm.queries import tokenizer_file
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, label string, text_key string"
+#: The last columns have names that operators use themselves.
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, label string, text_key string, epochs int, toxic int, k1 string, grp string, kept string, size string, n_tokens int"
+CLASHING = (9, 1, "k", "g", "t", "s", 3)
+P_DATA = "/root/testdata/sf0.001"
 EXTRA = [
     (1, None, None, None, None, "x", "a"),
     (2, "", "en", "s1", 0, "x", "a"),
@@ -25,7 +28,7 @@ EXTRA = [
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame(EXTRA, DOCS).repartition(3).cache()
+    return spark.createDataFrame([(*r, *CLASHING) for r in EXTRA], DOCS).repartition(3).cache()
 
 
 @pytest.fixture(scope="module")
@@ -51,7 +54,11 @@ def test_every_operator_takes_odd_rows(docs, labels):
     assert toxicity.score(docs, toxicity.train(docs, labels)).count() == n
     assert license_scan.scan(docs).isEmpty()
     for step in (near_dedup.deduplicated, suffix_dedup.cleaned, mixing.mixed):
-        assert step(docs).columns == docs.columns
+        assert step(docs).columns == docs.columns and all(tuple(r)[-7:] == CLASHING for r in step(docs).collect())
+    import corpus_pipeline as P
+
+    for name, step in P.STAGES[:1]:
+        assert name == "toxicity" and step(docs.sparkSession, docs, P_DATA).columns == docs.columns
 
 
 def test_every_operator_takes_empty_tables(spark, empty):
