@@ -5,7 +5,7 @@ repetition), transformed so that good prose is about normal.  Both classes get
 a mean and a covariance from all labelled training rows; covariances are shrunk
 toward their diagonal.  A score is the logistic of the difference of the two
 log densities, read from Mahalanobis distances with Cholesky factors that are
-computed once, plus the log odds of the classes.
+computed once and tempered, plus the log odds of the classes.
 
 The moments are sums, so training uses every labelled row and sends the driver
 a fixed number of figures.
@@ -25,6 +25,8 @@ from tessella.llm.cluster import stage
 NAMES = ("bytes", "word_length", "upper", "punctuation", "main_mark", "digits", "space", "distinct_words", "repeated_words", "lines")
 #: Weight of the diagonal in a covariance, and the ridge added to it.
 SHRINKAGE, RIDGE = 0.1, 0.01
+#: The log-density difference is divided by this: tails are heavier than normal ones.
+TEMPERATURE = 3.0
 #: Characters or words of ordinary prose that are added to each text, so short texts are not extreme.
 PRIOR = 40.0
 
@@ -84,6 +86,7 @@ class Discriminant:
     means: list
     inverse: list
     offset: float
+    odds: float
 
     @classmethod
     def fit(cls, moments: dict) -> Discriminant | None:
@@ -105,14 +108,15 @@ class Discriminant:
             inverse.append(np.linalg.inv(factor))
             log_det.append(2 * np.log(np.diag(factor)).sum())
             log_n.append(np.log(n))
-        return cls(means, inverse, float((log_det[0] - log_det[1]) / 2 + log_n[1] - log_n[0]))
+        return cls(means, inverse, float((log_det[0] - log_det[1]) / 2), float(log_n[1] - log_n[0]))
 
     def score(self, x):
         """The probability of class 1 for rows of statistics."""
         import numpy as np
 
         far = [(((x - m) @ i.T) ** 2).sum(1) for m, i in zip(self.means, self.inverse)]
-        return 1 / (1 + np.exp(-np.clip((far[0] - far[1]) / 2 + self.offset, -500, 500)))
+        difference = (far[0] - far[1]) / 2 + self.offset
+        return 1 / (1 + np.exp(-np.clip(difference / TEMPERATURE + self.odds, -500, 500)))
 
 
 def moments(labelled: DataFrame) -> dict:

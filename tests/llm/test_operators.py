@@ -361,4 +361,4 @@ def test_quality_factors():
         cov = (1 - quality.SHRINKAGE) * cov + quality.SHRINKAGE * np.diag(np.diag(cov)) + quality.RIDGE * np.diag(pooled)
         d = x - data[k].mean(0)
         want.append(-0.5 * (np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d) + np.linalg.slogdet(cov)[1]))
-    assert model.score(x) == pytest.approx(1 / (1 + np.exp(want[0] - want[1])))
+    assert model.score(x) == pytest.approx(1 / (1 + np.exp((want[0] - want[1]) / quality.TEMPERATURE)))
