@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
@@ -37,6 +37,17 @@ class Index:
         self._counted: dict[str, tuple[list[str], DataFrame]] = {}
         self.terms = documents.select("path", X.document_tokens(F.col("path"), F.col("symbols")).alias("terms"))
 
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> Index:
+        """An index that :meth:`write` has stored; queries then read terms, not texts."""
+        made = cls.__new__(cls)
+        made._counted, made.terms = {}, spark.read.schema("path string, terms array<string>").parquet(path)
+        return made
+
+    def write(self, path: str) -> Index:
+        self.terms.write.mode("overwrite").parquet(path)
+        return Index.read(self.terms.sparkSession, path)
+
     def postings(self) -> DataFrame:
         """``path, term, tf``; counts are summed before the shuffle."""
         return self.terms.select("path", F.explode("terms").alias("term")).groupBy("path", "term").agg(F.count("*").alias("tf"))

@@ -102,6 +102,13 @@ def test_search(spark):
     assert best == ["auth/middleware.go", "auth/handler.go"]
 
 
+def test_stored_index(spark, tmp_path):
+    index = Index(spark.createDataFrame(DOCS, "path string, symbols array<string>"))
+    stored = index.write(f"file://{tmp_path}/index")
+    want = [tuple(r) for r in index.search("auth query").collect()]
+    assert [tuple(r) for r in stored.search("auth query").collect()] == want and want
+
+
 def test_fusion(spark):
     a = spark.createDataFrame([("a", 2.0), ("b", 1.0)], "path string, score double")
     b = spark.createDataFrame([("b", 2.0), ("c", 1.0)], "path string, score double")
