@@ -68,9 +68,6 @@ class Bpe:
         with open(path, "rb") as f:
             return cls(f.read())
 
-    def __getstate__(self):
-        return {"source": self.source, "ready": False}
-
     def build(self) -> Bpe:
         if self.ready:
             return self
@@ -208,10 +205,17 @@ class Bpe:
 def shared_model(spark: SparkSession, tokenizer_path: str) -> Broadcast:
     """The tokenizer file, read on the driver and sent to the executors.
 
-    Its size is that of the vocabulary and does not grow with the data; the
-    tables are built from it once in each Python worker.
+    Its size is that of the vocabulary and does not grow with the data.
     """
-    return spark.sparkContext.broadcast(Bpe.load(tokenizer_path))
+    with open(tokenizer_path, "rb") as f:
+        return spark.sparkContext.broadcast({"source": f.read()})
+
+
+def built(sent: dict) -> Bpe:
+    """The tokenizer of a broadcast file; a worker keeps it with the broadcast, for its next tasks."""
+    if "model" not in sent:
+        sent["model"] = Bpe(sent["source"]).build()
+    return sent["model"]
 
 
 def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = True, with_decoded: bool = False) -> DataFrame:
@@ -234,7 +238,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: tuple
         import numpy as np
         import pyarrow as pa
 
-        bpe = model.value.build()
+        bpe = built(model.value)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             for start, count in slices(texts):
@@ -269,7 +273,7 @@ def lengths(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: tupl
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        bpe = model.value.build()
+        bpe = built(model.value)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             counts = []

@@ -131,3 +131,23 @@ def test_pipeline(spark, data):
     assert len(kept["bpe"]) == len(kept["mixing"])
     for i in list(ids)[:50]:
         assert ids[i] == t.encode(rows_before[i]["text"] or "", add_special_tokens=False).ids
+
+
+def test_workers_need_no_installed_package(data):
+    """From another folder and without PYTHONPATH, as on executors of a cluster."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[2]
+    code = f"""
+import sys; sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+s = SparkSession.builder.master('local[2]').config('spark.sql.shuffle.partitions', '2').config('spark.ui.enabled', 'false').getOrCreate()
+print([e.queries()[q](s, {data!r}).count() for q in ('op5_bpe', 'op1_embed_dedup', 'op10_licenses', 'debounce', 'imports_rust')])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd="/", env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
