@@ -30,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stage(df: DataFrame, name: str, arrow_rows: int = 1000) -> DataFrame:
+def stage(df: DataFrame, name: str, arrow_rows: int = 500) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage, and a lost executor costs no recomputation.  The

@@ -32,7 +32,7 @@ BLOCK_DOCS, BLOCK_SHINGLES = 4096, 4_000_000
 #: Documents of a candidate group that are always one block, and blocks made for parallelism at most.
 SPLIT_DOCS, SPLITS = 128, 32
 #: Distinct words that a worker remembers.
-CACHE = 400_000
+CACHE = 200_000
 
 
 class WordIds(dict):

@@ -36,7 +36,7 @@ from tessella.llm.cluster import release, stage, text_key
 
 WINDOW, GRAM = 200, 64
 #: Bytes handled at once, and texts whose keys a task remembers.
-SLICE, SEEN = 1 << 19, 1 << 18
+SLICE, SEEN = 1 << 18, 1 << 17
 #: Contexts of a gram that a range partition takes, and contexts sorted at once.
 HOT, BATCH = 5_000, 5_000
 

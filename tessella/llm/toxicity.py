@@ -30,7 +30,7 @@ BROADCAST_LABELS = 4_000_000
 #: Lengths of the word beginnings used beside whole words.
 STARTS = (4, 5, 6)
 #: Words remembered by a worker.
-CACHE = 300_000
+CACHE = 150_000
 #: Languages with their own category at most, and toxic rows that one needs.
 LANGUAGES, LEAST = 8, 20
 
@@ -185,7 +185,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Chain | N
     y = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("__toxic"))
     y = stage(y.where("doc_id is not null"), "labels")
     small = y.count() <= BROADCAST_LABELS
-    known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).join(F.broadcast(y) if small else y, "doc_id")
+    known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    # many labels: the labelled texts are brought together once, and kept for both passes
+    known = known.join(F.broadcast(y), "doc_id") if small else stage(known.join(y, "doc_id"), "labelled")
     totals = known.groupBy("lang", "__toxic").agg(F.count("*").alias("n")).orderBy(F.desc("__toxic"), F.desc("n"), "lang").limit(1000).collect()
     n, positive = sum(r["n"] for r in totals), sum(r["n"] for r in totals if r["__toxic"])
     if not positive or positive == n:
@@ -246,15 +248,28 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Chain | N
     exact = named.select("lang", "toxic", F.explode("features").alias("feature")).groupBy("feature").agg(*[c.alias(k) for c, k in zip(sums, columns)])
     chosen = standing_out(stage(exact, "features"), CHOSEN)
     sample = named.where(F.col("part") < int(min(1.0, SAMPLE / n) * (1 << 20)))
-    kept = F.array_intersect("features", F.array(*[F.lit(f) for f in chosen])).alias("features")
-    rows = sample.select("toxic", "lang", "fold", kept).orderBy("toxic", "lang", "fold", "features").collect()
-    truth = np.array([[float(r["toxic"] and r["lang"] == x) for x in langs] + [float(r["toxic"])] for r in rows])
-    numbered = [sorted(chosen[f] for f in r["features"]) for r in rows]
-    return Chain(categories, chosen).fit(ones(numbered), truth, np.array([r["fold"] for r in rows]))
+
+    def number(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [sorted(chosen[f] for f in r if f in chosen) for r in batch.column(4).to_pylist()]
+            targets = [batch.column(0).to_pylist(), batch.column(1).to_pylist()]
+            category = [(langs.index(x) if x in langs else len(langs)) if t else -1 for x, t in zip(*targets)]
+            yield pa.RecordBatch.from_arrays([pa.array(category, pa.int32()), batch.column(2), batch.column(3), pa.array(found, pa.list_(pa.int32()))], names=["category", "fold", "part", "features"])
+
+    # category: a toxic row's language by number, any other language after them, -1 if not toxic
+    sent = sample.mapInArrow(number, "category int, fold int, part long, features array<int>")
+    t = sent.orderBy("part", "category", "features").toArrow().combine_chunks()
+    category, fold_of = t.column("category").to_numpy(), t.column("fold").to_numpy()
+    lists = t.column("features").combine_chunks() if t.column("features").num_chunks != 1 else t.column("features").chunk(0)
+    rows = np.repeat(np.arange(t.num_rows, dtype=np.int32), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+    truth = np.column_stack([*(category == k for k in range(len(langs))), category >= 0]).astype(float)
+    return Chain(categories, chosen).fit(rows, truth, fold_of)
 
 
-def score(docs: DataFrame, chain: Chain | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """``keep``, ``toxicity`` double, ``toxic`` boolean, ``categories`` (array of category and probability, in chain order) per row.
+def score(docs: DataFrame, chain: Chain | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text", names: tuple[str, str, str] = ("toxicity", "toxic", "categories")) -> DataFrame:
+    """``keep``, ``toxicity`` double, ``toxic`` boolean, ``categories`` (array of category and probability, in chain order) per row, under ``names``.
 
     Null and empty texts have no features and get the models' base rate, which
     is below the threshold.  Without a chain (nothing to learn from) toxicity
@@ -264,19 +279,19 @@ def score(docs: DataFrame, chain: Chain | None, keep: tuple[str, ...] = ("doc_id
 
     kept = docs.select(*keep)
     each = T.ArrayType(T.StructType([T.StructField("category", T.StringType()), T.StructField("probability", T.DoubleType())]))
-    schema = T.StructType([*kept.schema.fields, T.StructField("toxicity", T.DoubleType()), T.StructField("toxic", T.BooleanType()), T.StructField("categories", each)])
+    schema = T.StructType([*kept.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.BooleanType()), T.StructField(names[2], each)])
     if chain is None:
         empty = F.array().cast(each)
-        return docs.select(*keep, F.lit(0.0).alias("toxicity"), F.lit(False).alias("toxic"), empty.alias("categories"))
+        return docs.select(*keep, F.lit(0.0).alias(names[0]), F.lit(False).alias(names[1]), empty.alias(names[2]))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        names = Names(chain.chosen.get)
+        known = Names(chain.chosen.get)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = [features(t, names) for t in part.column(part.num_columns - 1).to_pylist()]
+                found = [features(t, known) for t in part.column(part.num_columns - 1).to_pylist()]
                 p = chain.predict(ones(found), len(found))
                 # a text without any chosen feature has nothing to be judged by
                 last = [x if f else min(x, chain.threshold / 2) for x, f in zip(p[:, -1].tolist(), found)]
