@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessella.llm import bpe, embed_dedup, license_scan, mixing, near_dedup, quality, suffix_dedup, token_counts, topk_search, toxicity
 from tessella.llm.cluster import table

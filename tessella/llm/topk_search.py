@@ -15,8 +15,6 @@ of queries: nothing is broadcast, and a task's size is fixed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
