@@ -49,10 +49,10 @@ class Names(dict):
         self.meaning = meaning
 
     def __missing__(self, word: str) -> tuple:
-        if len(self) >= CACHE:
-            self.clear()
         names = [word, *("^" + word[:n] for n in STARTS if len(word) >= n)]
-        found = self[word] = tuple(m for m in map(self.meaning, names) if m is not None)
+        found = tuple(m for m in map(self.meaning, names) if m is not None)
+        if len(self) < CACHE:  # words met early are the frequent ones
+            self[word] = found
         return found
 
 
