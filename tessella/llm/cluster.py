@@ -67,6 +67,15 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(whole).alias("k1"), F.xxhash64(F.lit(7), whole, F.octet_length(whole)).alias("k2")]
 
 
+def one_of_each(texts: DataFrame) -> DataFrame:
+    """One row per key of ``k1, k2, text``, whatever join follows.
+
+    Copies already meet in the task that reads them, so a large group of copies
+    sends one row from each task.
+    """
+    return texts.groupBy("k1", "k2").agg(F.first("text").alias("text"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph by alternating large and small stars.
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.cluster import release, stage, text_key
+from tessella.llm.cluster import one_of_each, release, stage, text_key
 
 WINDOW, GRAM = 200, 64
 #: Bytes handled at once, and texts whose keys a task remembers.
@@ -309,22 +309,7 @@ def removals(docs: DataFrame, text: str = "text", with_text: bool = False) -> Da
     closed = led.where("same").select("k1", "k2", "g", "low", "span", "lead", F.lit(2).cast("long").alias("n"), F.lit(False).alias("hot"), F.lit(False).alias("asked"))
     listed = closed.union(rows).groupBy("k1", "k2").agg(F.collect_set(F.struct("g", "low", "span", "lead", "n", "hot", "asked")).alias("anchors"))
     # the only time that whole texts move
-    parts = texts.join(listed, ["k1", "k2"])
-
-    def once(batches: Iterator) -> Iterator:
-        """Of equal texts, which the join brings together, the first."""
-        import pyarrow as pa
-
-        before = None
-        for batch in batches:
-            chosen = []
-            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                if key != before:
-                    chosen.append(i)
-                before = key
-            yield batch.take(pa.array(chosen, pa.int32()))
-
-    parts = stage(parts.mapInArrow(once, parts.schema), "parts")
+    parts = stage(one_of_each(texts).join(listed, ["k1", "k2"]), "parts")
     release(led)
     asked = parts.select("k1", "k2", "text", F.filter("anchors", lambda a: a["asked"]).alias("anchors")).where(F.size("anchors") > 0)
 

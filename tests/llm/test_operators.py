@@ -205,6 +205,30 @@ def test_repeats_with_and_without_hot_grams(spark, monkeypatch, hot):
     assert got == [(i, *r) for i, r in enumerate(brute.repeated_bytes(texts))]
 
 
+@pytest.mark.parametrize("threshold", ["60k", "1g", "-1"])
+def test_copies_that_lie_apart_under_any_join(spark, tmp_path, threshold):
+    rng = random.Random(6)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789 ") for _ in range(n))
+    shared = noise(400)
+    copied, short = noise(100) + shared + noise(50), noise(50) + shared
+    texts = []
+    for k in range(60):
+        texts += [noise(3000), *([copied] if k % 9 == 0 else []), *([short] if k == 31 else [])]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/texts")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, threshold)
+    try:
+        df = spark.read.parquet(f"{tmp_path}/texts")
+        got = sorted(tuple(r) for r in suffix_dedup.dedup(df).collect())
+        kept = suffix_dedup.cleaned(df).count()
+    finally:
+        spark.conf.set(key, before)
+    assert got == [(i, *r) for i, r in enumerate(brute.repeated_bytes(texts))]
+    assert kept == len(texts)
+
+
 def test_cleaned_text_has_no_broken_characters(spark):
     shared = "€" * 100
     rows = [(1, "front " + shared + " tail", 7), (2, shared + " other", 7), (3, "clean", 7), (4, None, None)]
