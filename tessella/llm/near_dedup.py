@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.cluster import block_pairs, connected_components, release, stage, text_key, whole_groups
+from tessella.llm.cluster import block_pairs, connected_components, one_of_each, release, stage, text_key, whole_groups
 
 WORDS = 5
 BUCKETS, MANTISSA = 128, 10
@@ -263,19 +263,15 @@ def links(texts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        ids, before = WordIds(), None
+        ids = WordIds()
         with np.errstate(over="ignore"):
             for batch in batches:
                 for at in range(0, batch.num_rows, 200):
-                    rows = []
-                    for r in batch.slice(at, 200).to_pylist():
-                        if r["node"] != before:  # copies of a text come together
-                            rows.append((r["grp"], r["blocks"], r["node"], shingles(r["text"], ids).tobytes()))
-                        before = r["node"]
+                    rows = [(r["grp"], r["blocks"], r["node"], shingles(r["text"], ids).tobytes()) for r in batch.slice(at, 200).to_pylist()]
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows), [pa.int64(), pa.int64(), pa.int64(), pa.binary()])], names=["grp", "blocks", "node", "shingles"])
 
-    joined = texts.join(asked, ["k1", "k2"]).select("node", "grp", "blocks", "text")
+    joined = one_of_each(texts).join(asked, ["k1", "k2"]).select("node", "grp", "blocks", "text")
     full = joined.mapInArrow(sets, "grp long, blocks long, node long, shingles binary")
     full = full.select("grp", F.explode(block_pairs(F.col("blocks"), F.pmod(F.xxhash64("node"), F.col("blocks")))).alias("p"), "node", "shingles")
     full = full.select("grp", "p.i", "p.j", "node", "shingles").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")

@@ -163,6 +163,29 @@ def test_near_duplicates_in_blocks(spark, monkeypatch, block):
     assert got == sorted(brute.near_duplicates(rows, 85))
 
 
+@pytest.mark.parametrize("threshold", ["60k", "1g", "-1"])
+def test_each_node_sends_one_set_under_any_join(spark, tmp_path, threshold):
+    rng = random.Random(8)
+    noise = lambda n: " ".join(str(rng.randrange(10**6)) for _ in range(n))
+    copied = noise(100)
+    near = copied + " end"
+    texts = []
+    for k in range(60):
+        texts += [noise(400), *([copied] if k % 4 == 0 else []), *([near] if k == 31 else [])]
+    keyed = lambda df: df.select(*cluster.text_key(F.col("text")), "text")
+    keyed(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)).write.parquet(f"{tmp_path}/texts")
+    nodes = spark.createDataFrame([(7, copied), (9, near)], "node long, text string")
+    members = nodes.select("node", F.lit(1).cast("long").alias("grp"), F.lit(100).cast("long").alias("n"), *cluster.text_key(F.col("text")))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, threshold)
+    try:
+        got = near_dedup.links(spark.read.parquet(f"{tmp_path}/texts"), members, 80).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert [sorted(r) for r in got] == [[7, 9]]
+
+
 def test_sketch_estimates():
     import numpy as np
 
