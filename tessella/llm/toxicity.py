@@ -188,13 +188,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Chain | N
     known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     # many labels: the labelled texts are brought together once, and kept for both passes
     known = known.join(F.broadcast(y), "doc_id") if small else stage(known.join(y, "doc_id"), "labelled")
-    totals = known.groupBy("lang", "__toxic").agg(F.count("*").alias("n")).orderBy(F.desc("__toxic"), F.desc("n"), "lang").limit(1000).collect()
-    n, positive = sum(r["n"] for r in totals), sum(r["n"] for r in totals if r["__toxic"])
+    n, positive = known.agg(F.count("*"), F.count(F.when(F.col("__toxic") == 1, 1))).first()
     if not positive or positive == n:
         return None
-    langs = [r["lang"] for r in totals if r["__toxic"] and r["n"] >= LEAST and r["lang"] is not None][:LANGUAGES]
+    most = known.where("__toxic = 1 and lang is not null").groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
+    most = most.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    langs = [r["lang"] for r in most]
     categories = [*(f"toxic_{x}" for x in langs), "toxic"]
-    inside = [*(r["n"] for x in langs for r in totals if r["__toxic"] and r["lang"] == x), positive]
+    inside = [*(r["n"] for r in most), positive]
     columns = [f"c{k}" for k in range(len(categories) + 1)]  # the last counts all rows
 
     def count(batches: Iterator) -> Iterator:

@@ -344,6 +344,23 @@ def test_toxicity_is_learned(spark):
     assert [c["category"] for c in got[0]["categories"]] == chain.categories
 
 
+def test_toxicity_with_many_languages(spark):
+    rng = random.Random(1)
+    voc = [f"{a}{b}" for a in "bcdfg" for b in ("ala", "enor", "ist", "omen", "urp")]
+    rows, labels = [], []
+    for i in range(2400):
+        words = [rng.choice(voc) for _ in range(20)]
+        if i % 2:
+            words[rng.randrange(20)] = rng.choice(["grumble", "nastyword", "vilest"])
+        rows.append((i, " ".join(words), f"x{i // 2}"))
+        labels.append((i, i % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    chain = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert chain is not None and chain.categories == ["toxic"]
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.score(docs, chain).collect()}
+    assert sum(got[i] != bool(i % 2) for i in got) <= 5
+
+
 def test_one_class_of_labels(spark, docs):
     one = spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in quality.score(docs, one).collect()} == {0.5}
