@@ -29,6 +29,8 @@ CELL, PIVOTS, PIVOT_BYTES = 4096, 4096, 32 << 20
 BLOCK = 4096
 #: Added to radii, so rounding in distances never loses a copy.
 ROUNDING = 1e-6
+#: Distance of two pivots below which rounding can swamp the plane between them.
+APART = 1e-4
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
@@ -91,15 +93,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "
                     x = flat[begin[at_rows][:, None] + np.arange(w)]
                     x = x / np.linalg.norm(x, axis=1, keepdims=True)
                     p = found[1]
-                    square = np.maximum(2 - 2 * (x @ p.T), 0)
-                    nearest = square.argmin(1)
-                    least = square[np.arange(len(x)), nearest][:, None]
-                    apart = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0))[nearest]
-                    reach = np.sqrt(square) - np.sqrt(least) <= 2 * radius
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        plane = (square - least) / (2 * apart)
-                    reach &= ~(plane > radius)
-                    reach[np.arange(len(x)), nearest] = True
+                    nearest, reach = reached(x, p, radius)
                     i, c = np.nonzero(reach)
                     row.append(at_rows[i])
                     cell.append(found[0][c])
@@ -157,6 +151,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
+def reached(x, p, radius: float):
+    """The nearest of the pivots ``p`` to each unit vector, and a mask of the cells within ``radius`` of it."""
+    import numpy as np
+
+    square = np.maximum(2 - 2 * (x @ p.T), 0)
+    nearest = square.argmin(1)
+    least = square[np.arange(len(x)), nearest][:, None]
+    apart = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 0))[nearest]
+    reach = np.sqrt(square) - np.sqrt(least) <= 2 * radius
+    plane = (square - least) / (2 * np.maximum(apart, APART))
+    reach &= (plane <= radius) | (apart <= APART)
+    reach[np.arange(len(x)), nearest] = True
+    return nearest, reach
+
+
 def range_join(x, copies, block, threshold: float):
     """Component labels and numbers of linked others among unit vectors.
 

@@ -295,6 +295,16 @@ def test_linked_vectors(spark, monkeypatch, cell, block):
     assert sorted(map(tuple, embed_dedup.near_duplicates(df).collect())) == sorted(brute.linked_vectors(rows))
 
 
+def test_cells_of_pivots_that_point_the_same_way():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=48)
+    scaled = lambda n: np.stack([c * v / np.linalg.norm(c * v) for c in rng.uniform(0.1, 9, n)])
+    nearest, reach = embed_dedup.reached(scaled(3000), scaled(12), (2 - 2 * 0.98) ** 0.5 + embed_dedup.ROUNDING)
+    assert reach.all()
+
+
 @pytest.mark.parametrize(("n_rows", "n_queries"), [(32768, 256), (50, 3)])
 def test_top_k(spark, monkeypatch, n_rows, n_queries):
     import numpy as np
