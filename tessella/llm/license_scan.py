@@ -3,7 +3,8 @@
 Each template's words are fingerprinted by hashes of GRAM neighbouring words,
 thinned by winnowing: of each WINDOW neighbouring hashes the least stays, so
 any run of GRAM + WINDOW - 1 template words that a text copies shares a
-fingerprint with it.  An inverted index maps fingerprints to places in
+fingerprint with it.  Of a template of SHORT words or fewer, more single words
+are also indexed than a match may lack, so every match has one.  An inverted index maps fingerprints to places in
 templates.  All word runs of a text are looked up in it; hits of one template
 on about one diagonal make a candidate, which a local alignment within a band
 around these diagonals turns into a matched span and its coverage: the share of
@@ -15,6 +16,7 @@ scanned whole and independently, without a shuffle.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 GRAM, WINDOW = 3, 3
+#: Words of the templates that single words are indexed of.
+SHORT = 12
 #: Half width of the band, in words, beside the diagonals of a candidate's hits.
 BAND = 8
 #: Bytes of templates at most.
@@ -76,9 +80,9 @@ def byte_spans(text: str) -> list[tuple[int, int]]:
 
 
 class Index:
-    """The inverted index of winnowed template fingerprints."""
+    """The inverted index of winnowed template fingerprints, and of single words of short templates."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], least: float = 0.8):
         import zlib
 
         import numpy as np
@@ -92,36 +96,45 @@ class Index:
         base = len(self.number) + 1
         self.weights = np.array([base**2, base, 1], np.int64)
         places: dict[int, list[tuple[int, int]]] = {}
-        self.short: list[int] = []
         for k, t in enumerate(self.words):
             ids = [self.number[w] for w in t]
             grams = [(ids[i] * base + ids[i + 1]) * base + ids[i + 2] for i in range(len(ids) - 2)]
             order = [zlib.crc32(str(g).encode()) for g in grams]
             picked = {min(range(s, min(s + WINDOW, len(grams))), key=lambda i: (order[i], -i)) for s in range(max(1, len(grams) - WINDOW + 1))} if grams else set()
-            if not grams:
-                self.short.append(k)
             for i in picked:
                 places.setdefault(grams[i], []).append((k, i))
         self.grams = np.array(sorted(places), np.int64)
         self.places = [places[g] for g in sorted(places)]
+        # words in few templates, and then long ones, are taken for rare in texts
+        spread = Counter(w for t in self.words for w in set(t))
+        self.single: dict[int, list[tuple[int, int]]] = {}
+        for k, t in enumerate(self.words):
+            if len(t) <= SHORT:
+                need = sum(m < least * len(t) for m in range(len(t) + 1))  # matched words of a match at least
+                for i in sorted(range(len(t)), key=lambda i: (t[i].isdigit(), spread[t[i]], -len(t[i]), i))[: len(t) - need + 1]:
+                    self.single.setdefault(self.number[t[i]], []).append((k, i))
+        self.is_single = np.zeros(base, bool)
+        self.is_single[list(self.single)] = True
 
     def hits(self, text: list[bytes]) -> list[tuple[int, int, int]]:
-        """(template, place in it, place in the text) of all shared fingerprints."""
+        """(template, place in it, place in the text) of all shared fingerprints and single words."""
         import numpy as np
 
         n = len(text)
-        if n < GRAM or not len(self.grams):
+        if not n or not len(self.grams):
             return []
         of = self.number.get
         ids = np.fromiter((of(w, 0) for w in text), np.int64, n)
+        alone = np.flatnonzero(self.is_single[ids])
+        found = [(k, i, p) for p in alone.tolist() for k, i in self.single[int(ids[p])]]
         known = ids > 0
         at = np.flatnonzero(known[:-2] & known[1:-1] & known[2:])
         if not len(at):
-            return []
+            return found
         grams = ids[at] * self.weights[0] + ids[at + 1] * self.weights[1] + ids[at + 2]
         slot = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
-        found = np.flatnonzero(self.grams[slot] == grams)
-        return [(k, i, p) for s, p in zip(slot[found].tolist(), at[found].tolist()) for k, i in self.places[s]]
+        same = np.flatnonzero(self.grams[slot] == grams)
+        return found + [(k, i, p) for s, p in zip(slot[same].tolist(), at[same].tolist()) for k, i in self.places[s]]
 
     def scan(self, text: list[bytes], least: float) -> list[tuple[str, float, int, int, int]]:
         """(license, coverage, matched words, first word, end word) of each match, by place."""
@@ -204,7 +217,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        index = Index(known.value)
+        index = Index(known.value, least)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)

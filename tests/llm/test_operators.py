@@ -418,6 +418,17 @@ def test_license_spans(spark):
         license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), {"x": "two words"})
 
 
+def test_short_licenses_with_words_between(spark):
+    rows = [
+        (1, "Released under the terms of the MIT License"),
+        (2, "Released under MIT License"),
+        (3, "released it under some MIT like thing"),
+        (4, "all our rights stay reserved"),
+    ]
+    got = {(r[0], r[1]): r[2] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, "MIT"): 1.0, (2, "MIT"): 0.8, (4, "all-rights-reserved"): 1.0}
+
+
 def test_quality_factors():
     import numpy as np
 
