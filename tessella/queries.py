@@ -392,9 +392,6 @@ def minify(spark, d):
 TASK = "Which suppliers of nation and supplier data?"
 _MATCH = "CAST(contains(lower(n), 'which') AS INT) + CAST(contains(lower(n), 'suppliers') AS INT) + CAST(contains(lower(n), 'nation') AS INT) + CAST(contains(lower(n), 'and') AS INT) + CAST(contains(lower(n), 'supplier') AS INT) + CAST(contains(lower(n), 'data') AS INT)"
 _ANCHORS = f"anchors AS (SELECT n AS path, {_MATCH} AS matches FROM (SELECT src AS n FROM edges UNION SELECT dst FROM edges) WHERE {_MATCH} > 0 ORDER BY matches DESC, n LIMIT 8)"
-_FAMILIES = ("supplier_nation", "nation_region", "customer_nation")
-
-
 @query(_W + ", " + _ANCHORS + " SELECT path, matches FROM anchors")
 def anchors(spark, d):
     return context.anchors(R.edges(spark, d), TASK)
@@ -439,8 +436,7 @@ def budget_prefix(spark, d):
 
 @query()
 def understand(spark, d):
-    edges = R.edges(spark, d, *_FAMILIES)
-    out = context.understand(edges, TASK)
+    out = context.understand(R.edges(spark, d), TASK)
     return spark.createDataFrame([(out["text"], out["tokens_estimate"], len(out["files"]), ",".join(out["anchors"]))], "text string, tokens_estimate long, n_files long, anchors string")
 
 

@@ -22,6 +22,16 @@ def test_understand_is_deterministic(spark, data):
     assert a == b and a[0]["n_files"] > 0 and a[0]["text"].startswith("## MAP\n")
 
 
+def test_understand_takes_all_edges(spark, data):
+    from tessella.operators import context
+    from tessella.queries import TASK
+    from tessella.sources import relational
+
+    want = context.understand(relational.edges(spark, data), TASK)
+    (got,) = QUERIES["understand"](spark, data).collect()
+    assert (got["text"], got["n_files"], got["anchors"]) == (want["text"], len(want["files"]), ",".join(want["anchors"]))
+
+
 def test_entry(spark, data):
     import __spark_entry__ as entry
 
