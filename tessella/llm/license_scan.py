@@ -6,9 +6,9 @@ any run of GRAM + WINDOW - 1 template words that a text copies shares a
 fingerprint with it.  Of a template of SHORT words or fewer, more single words
 are also indexed than a match may lack, so every match has one.  An inverted index maps fingerprints to places in
 templates.  All word runs of a text are looked up in it; hits of one template
-on about one diagonal make a candidate, which a local alignment within a band
-around these diagonals turns into a matched span and its coverage: the share of
-the template's words that the text has, in order.
+on diagonals within BAND of each other make a candidate, which a local
+alignment within a band around these turns into a matched span and its
+coverage.  Where matches of several templates overlap, the best one stays.
 
 Templates are a parameter of fixed size, sent to the executors; texts are
 scanned whole and independently, without a shuffle.
@@ -23,11 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.llm.cluster import lean, slices
+
 GRAM, WINDOW = 3, 3
 #: Words of the templates that single words are indexed of.
 SHORT = 12
 #: Half width of the band, in words, beside the diagonals of a candidate's hits.
 BAND = 8
+#: What a word inside a match that is not the template's counts for.
+GAP = 0.25
 #: Bytes of templates at most.
 TEMPLATE_BYTES = 8 << 20
 
@@ -138,55 +142,90 @@ class Index:
 
     def scan(self, text: list[bytes], least: float) -> list[tuple[str, float, int, int, int]]:
         """(license, coverage, matched words, first word, end word) of each match, by place."""
-        groups: list[tuple[int, list[tuple[int, int]]]] = []
-        for k, i, p in sorted(self.hits(text), key=lambda h: (h[0], h[2] - h[1], h[2])):
-            last = groups[-1] if groups else None
-            if last and last[0] == k and (p - i) - (last[1][-1][1] - last[1][-1][0]) <= BAND:
-                last[1].append((i, p))
-            else:
-                groups.append((k, [(i, p)]))
-        out = set()
-        for k, hits in groups:
+        import numpy as np
+
+        found: set = set()
+        by: dict[int, list[tuple[int, int]]] = {}
+        for k, i, p in self.hits(text):
+            by.setdefault(k, []).append((p - i, p))
+        ids = np.fromiter((self.number.get(w, 0) for w in text), np.int64, len(text)) if by else None
+        for k, hits in by.items():
             template = self.words[k]
-            low, high = min(p - i for i, p in hits) - BAND, max(p - i for i, p in hits) + BAND
-            parts = [(max(0, low), min(len(text), len(template) + high))]
-            while parts:  # a band can hold several copies: go on beside each match
-                a, b = parts.pop()
-                matched, first, end = align(template, text, low, high, a, b)
-                if matched and matched >= least * len(template):
-                    out.add((self.names[k], matched / len(template), matched, first, end))
-                    parts += [(a, first), (end, b)]
-        return longest(sorted(out, key=lambda m: (m[3], -m[4], m[0])))
-
-
-def longest(found: list) -> list:
-    """Without matches of a license that overlap a better one of the same license."""
+            own = np.zeros(len(self.number) + 1, bool)
+            own[[self.number[w] for w in template]] = True
+            shared = np.concatenate([[0], np.cumsum(own[ids])])
+            hits.sort()
+            at = 0
+            while at < len(hits):  # a band holds the diagonals within BAND of its first, and BAND beside them
+                first = at
+                while at < len(hits) and hits[at][0] - hits[first][0] <= BAND:
+                    at += 1
+                low, high = hits[first][0] - BAND, hits[at - 1][0] + BAND
+                parts = [(max(0, low), min(len(text), len(template) + high))]
+                while parts:  # it can hold several copies: go on beside each match
+                    a, b = parts.pop()
+                    if b <= a or shared[b] - shared[a] < least * len(template):
+                        continue
+                    matched, start, end = align(template, text, low, high, a, b)
+                    if not matched:
+                        continue
+                    covered = matched / (len(template) + GAP * (end - start - matched))
+                    if covered >= least:
+                        found.add((self.names[k], covered, matched, start, end))
+                    if covered >= least or end - start < b - a:
+                        parts += [(a, start), (end, b)]
+        return best_apart(found, {n: len(w) for n, w in zip(self.names, self.words)})
+
+
+def best_apart(found, sizes: dict[str, int]) -> list:
+    """The matches that no better one overlaps, by place.
+
+    Better has more matched words, then fewer words of text and template that
+    are not matched.  So one notice gives one license, the nearest.
+    """
+    from bisect import bisect
+
+    def rank(m):
+        name, _, matched, first, end = m
+        return (-matched, end - first + sizes[name] - 2 * matched, first, end, name)
+
+    starts: list[int] = []
     kept: list = []
-    for m in sorted(found, key=lambda m: (-m[2], m[3], m[4], m[0])):
-        if not any(o[0] == m[0] and m[3] < o[4] and o[3] < m[4] for o in kept):
-            kept.append(m)
-    return sorted(kept, key=lambda m: (m[3], m[4], m[0]))
+    for m in sorted(found, key=rank):
+        i = bisect(starts, m[3])
+        if (i == 0 or kept[i - 1][4] <= m[3]) and (i == len(kept) or m[4] <= kept[i][3]):
+            starts.insert(i, m[3])
+            kept.insert(i, m)
+    return kept
 
 
-def align(template: list[bytes], text: list[bytes], low: int, high: int, start: int = 0, stop: int | None = None) -> tuple[int, int, int]:
+def align(template: list[bytes], text: list[bytes], low: int, high: int, start: int, stop: int) -> tuple[int, int, int]:
     """Best local alignment on the diagonals low..high (text minus template place), in text[start:stop].
 
     Equal words gain 2, others and gaps cost 1.  Returns the matched words and
     the span of the text; of equal scores the first.
     """
     best = (0, 0, 0, 0)  # score, matched, first, end
-    before: dict[int, tuple[int, int, int]] = {}
     nothing = (0, 0, -1)
+    width = high - low + 1
+    before = [nothing] * (width + 1)  # by diagonal; of the template word before
     for i, word in enumerate(template):
-        now: dict[int, tuple[int, int, int]] = {}
-        for p in range(max(start, i + low), min(len(text) if stop is None else stop, i + high + 1)):
-            s, m, first = before.get(p - 1, nothing)
-            cell = (s + 2, m + 1, p if first < 0 or s == 0 else first) if text[p] == word else (s - 1, m, first)
-            for s, m, first in (before.get(p, nothing), now.get(p - 1, nothing)):
-                if s - 1 > cell[0]:
-                    cell = (s - 1, m, first)
+        now = [nothing] * (width + 1)
+        for d in range(max(0, start - i - low), min(width, stop - i - low)):
+            p = i + low + d
+            s, m, first = before[d]
+            if text[p] == word:
+                cell = (s + 2, m + 1, p if s == 0 else first)
+            else:
+                cell = (s - 1, m, first)
+            up = before[d + 1]  # a template word without a text word
+            if up[0] - 1 > cell[0]:
+                cell = (up[0] - 1, up[1], up[2])
+            left = now[d - 1] if d else nothing  # a text word without a template word
+            if left[0] - 1 > cell[0]:
+                cell = (left[0] - 1, left[1], left[2])
             if cell[0] > 0:
-                now[p] = cell
+                now[d] = cell
                 if cell[0] > best[0] and text[p] == word:
                     best = (cell[0], cell[1], cell[2], p + 1)
         before = now
@@ -197,11 +236,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     """One row per license match: ``doc_id, license, coverage, matched_words,
     first_word, end_word, start_byte, end_byte``.
 
-    ``coverage`` is at least ``least``; spans are half open, in words as
+    ``coverage`` is the number of matched words, divided by the template's words
+    and GAP for each other word in the span; at least ``least``.  Matches do not overlap: of
+    several the one with most matched words counts, then the one with fewest
+    others (:func:`best_apart`).  Spans are half open, in words as
     :func:`words` counts them and in bytes of UTF-8.  A text can hold several
     licenses, and one several times; null, empty and license-free texts give no
-    rows, repeated rows give theirs each.  Templates of fewer than GRAM words
-    have no fingerprint and are refused.
+    rows, repeated rows give theirs each; time grows in proportion to a text.
+    Templates of fewer than GRAM words have no fingerprint and are refused.
     """
     templates = TEMPLATES if templates is None else templates
     if sum(len(t) for t in templates.values()) > TEMPLATE_BYTES:
@@ -219,8 +261,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
 
         index = Index(known.value, least)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at, count in slices(batch.column(1)):
+                part = batch.slice(at, count)
                 rows, which = [], []
                 for i, t in enumerate(part.column(1).to_pylist()):
                     found = index.scan(words(t), least)
@@ -233,4 +275,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
                     cols = [pa.array(x, y) for x, y in zip(zip(*rows), types)]
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(which)), *cols], names=schema.names)
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), schema)
