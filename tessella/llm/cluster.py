@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,39 +21,97 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all nodes share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a local one is set.
+    Only where the session has none and runs on one machine (tests) a local one
+    is set; on a cluster each node would write to its own disk, so that fails.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         if made.isDefined():
             return made.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all nodes share")
         found = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def stage(df: DataFrame, name: str, arrow_rows: int = 500) -> DataFrame:
+#: Rows that a Python worker gets at once while a table is staged, as texts can be long.
+ARROW_ROWS = 256
+_batches = {"lock": threading.Lock(), "users": 0, "before": ""}
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Batches of ARROW_ROWS rows as long as any thread is in here."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    with _batches["lock"]:
+        _batches["users"] += 1
+        if _batches["users"] == 1:
+            _batches["before"] = spark.conf.get(rows)
+            spark.conf.set(rows, str(ARROW_ROWS))
+    try:
+        yield
+    finally:
+        with _batches["lock"]:
+            _batches["users"] -= 1
+            if _batches["users"] == 0:
+                spark.conf.set(rows, _batches["before"])
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage, and a lost executor costs no recomputation.  The
-    files stay until :func:`release` or the end of the job.  Meanwhile Python
-    workers get at most ``arrow_rows`` rows at once, as texts can be long.
+    files stay until :func:`release` or the end of the job.  Python workers get
+    small batches meanwhile.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(rows)
-    spark.conf.set(rows, str(arrow_rows))
-    try:
+    with small_batches(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(rows, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, after which the worker gives the memory of the task back.
+
+    Workers are reused, and an executor keeps several; without this each holds
+    on to the most that any of its tasks took.
+    """
+
+    def task(batches: Iterator) -> Iterator:
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(ctypes.CDLL(None), "malloc_trim"):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
+def slices(texts, size: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Runs (start, count) of rows of an Arrow string column with about ``size`` bytes, a row at least."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if i > start and total + n > size:
+            yield start, i - start
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes) - start
+
+
 def release(*staged: DataFrame) -> None:
     """Delete staged tables that no plan needs any longer."""
     for df in staged:
