@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.cluster import block_pairs, connected_components, stage, whole_groups
+from tessella.llm.cluster import block_pairs, connected_components, lean, stage, whole_groups
 
 #: Vectors aimed at in a cell; pivots of all labels together at most, and the bytes they may take.
 CELL, PIVOTS, PIVOT_BYTES = 4096, 4096, 32 << 20
@@ -41,6 +41,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "
     it is the row's own.  Cosines are computed in double precision.  Rows with
     a null label, or a vector that is null, empty, zero, or holds nulls, NaN or
     infinities, have no links; vectors of different lengths are not linked.
+    Finite components of any size are taken exactly as far as doubles go.
     Null ids have a null component and are not kept.
     """
     spark = vectors.sparkSession
@@ -58,8 +59,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "
     wanted = min(room, -(-sizes["n"] // CELL))
     # the sample: the least hashes of all vectors; a label without a pivot is one cell
     sample = nodes.select("label", "v").orderBy(F.xxhash64("h1", "h2")).limit(wanted)
-    pivots = spark.sparkContext.broadcast([(r["label"], list(r["v"])) for r in sample.collect()])
     radius = (2 - 2 * threshold) ** 0.5 + ROUNDING
+    pivots = spark.sparkContext.broadcast(chosen_pivots([(r["label"], list(r["v"])) for r in sample.collect()], radius))
 
     def assign(batches: Iterator) -> Iterator:
         import numpy as np
@@ -67,9 +68,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "
 
         by: dict = {}
         for i, (name, v) in enumerate(pivots.value):
-            unit = np.array(v) / np.linalg.norm(v)
             by.setdefault((name, len(v)), ([], []))[0].append(i)
-            by[name, len(v)][1].append(unit)
+            by[name, len(v)][1].append(unit(np.array([v]))[0])
         by = {k: (np.array(i), np.stack(u)) for k, (i, u) in by.items()}
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
@@ -91,7 +91,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "
                         own.append(np.ones(len(at_rows), bool))
                         continue
                     x = flat[begin[at_rows][:, None] + np.arange(w)]
-                    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                    x = unit(x)
                     p = found[1]
                     nearest, reach = reached(x, p, radius)
                     i, c = np.nonzero(reach)
@@ -103,7 +103,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "
                 yield pa.RecordBatch.from_arrays([*out, pa.array(np.concatenate(cell)), pa.array(np.concatenate(own))], names=["node", "label", "copies", "v", "cell", "own"])
 
     kind = nodes.schema["label"].dataType.simpleString()
-    placed = nodes.select("node", "label", "copies", "v").mapInArrow(assign, f"node long, label {kind}, copies long, v array<double>, cell long, own boolean")
+    placed = nodes.select("node", "label", "copies", "v").mapInArrow(lean(assign), f"node long, label {kind}, copies long, v array<double>, cell long, own boolean")
     placed = stage(placed, "cells")
     counts = placed.groupBy("label", "cell").agg(F.count("*").alias("m"))
     dealt = placed.join(counts, ["label", "cell"]).withColumn("blocks", F.ceil(F.col("m") / BLOCK))
@@ -127,7 +127,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "
                 for w in np.unique(width[s:e]):
                     at = s + np.flatnonzero(width[s:e] == w)
                     x = flat[begin[at][:, None] + np.arange(w)]
-                    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                    x = unit(x)
                     i, j = key[1, s], key[2, s]
                     # between two blocks only pairs across count; within one all do
                     label, number = range_join(x, copies[at], block[at] if i != j else None, threshold)
@@ -138,17 +138,50 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "
             cols = [np.concatenate(c) for c in (who, linked, root)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["node", "linked", "root"])
 
-    found = stage(dealt.mapInArrow(join, "node long, linked long, root long"), "linked")
+    found = stage(dealt.mapInArrow(lean(join), "node long, linked long, root long"), "linked")
     links = found.groupBy("node").agg(F.sum("linked").alias("linked"))
     parts = connected_components(found.where("node <> root").select("node", "root").distinct())
     named = nodes.select("node", "label", "h1", "h2", "copies", "least").join(links, "node").join(parts, "node", "left")
     named = named.withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").select("label", "h1", "h2", (F.col("linked") + F.col("copies") - 1).alias("n_links"), "component_id")
-    named = stage(named, "components").withColumn("valid", F.lit(True))
-    out = keyed.drop("v").join(named, ["label", "h1", "h2", "valid"], "left")
-    component = F.when(F.col("valid"), F.col("component_id")).otherwise(F.col("vec_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    named = stage(named, "components")
+    out = some.drop("v").join(named, ["label", "h1", "h2"]).select("vec_id", "n_links", "component_id")
+    # the others all look alike and meet nobody
+    out = out.union(keyed.where("not valid").select("vec_id", F.lit(0).cast("long"), "vec_id"))
+    return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def unit(x):
+    """Rows scaled to length 1; by a power of two first, so that no square overflows or vanishes."""
+    import numpy as np
+
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def chosen_pivots(sample: list[tuple], radius: float) -> list[tuple]:
+    """Of each label's and length's sampled vectors as many, from the first, as make the least work.
+
+    Each cell of p pivots holds c / p of the vectors, where a vector is copied
+    to c cells; the pairs compared then grow with c * c / p.  Where distances
+    concentrate, copies eat up what cells save, and one cell (in blocks) is best.
+    """
+    import numpy as np
+
+    groups: dict = {}
+    for name, v in sample:
+        groups.setdefault((name, len(v)), []).append(v)
+    out = []
+    for (name, _), vectors in groups.items():
+        x, best, take, p = unit(np.array(vectors, float)), 1.0, 1, 2
+        while p <= len(x):
+            copies = np.mean([reached(x[s : s + 512], x[:p], radius)[1].sum(1).mean() for s in range(0, len(x), 512)])
+            if copies * copies / p < best:
+                best, take = copies * copies / p, p
+            p = p * 2 if p * 2 <= len(x) or p == len(x) else len(x)
+        out += [(name, v) for v in vectors[:take]]
+    return out
 
 
 def reached(x, p, radius: float):
