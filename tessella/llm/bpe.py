@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.llm.cluster import lean, slices
+
 #: Fixed values of the byte-level format: the split pattern of the GPT-2 family.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -43,10 +45,7 @@ LATER_NUMBERS = [
 ]
 
 #: Pieces remembered by a Python worker, and their greatest length in characters.
-CACHE, CACHED_LENGTH = 400_000, 40
-
-#: Characters of text handled at once.
-SLICE = 2_000_000
+CACHE, CACHED_LENGTH = 200_000, 40
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -262,7 +261,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: tuple
                     out.append(pa.array(decoded, pa.string()))
                 yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(lean(run), schema)
 
 
 def lengths(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -282,19 +281,4 @@ def lengths(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: tupl
             out = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*out, pa.array(counts, pa.int64())], names=schema.names)
 
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
-
-
-def slices(texts) -> Iterator[tuple[int, int]]:
-    """Runs of rows of an Arrow string column with about SLICE characters, a row at least."""
-    import pyarrow.compute as pc
-
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
-    start = total = 0
-    for i, n in enumerate(sizes):
-        if i > start and total + n > SLICE:
-            yield start, i - start
-            start, total = i, 0
-        total += n
-    if start < len(sizes):
-        yield start, len(sizes) - start
+    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(lean(run), schema)

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.cluster import block_pairs, connected_components, one_of_each, release, stage, text_key, whole_groups
+from tessella.llm.cluster import block_pairs, connected_components, lean, one_of_each, release, stage, text_key, whole_groups
 
 WORDS = 5
 BUCKETS, MANTISSA = 128, 10
@@ -32,7 +32,7 @@ BLOCK_DOCS, BLOCK_SHINGLES = 4096, 4_000_000
 #: Documents of a candidate group that are always one block, and blocks made for parallelism at most.
 SPLIT_DOCS, SPLITS = 128, 32
 #: Distinct words that a worker remembers.
-CACHE = 200_000
+CACHE = 100_000
 
 
 class WordIds(dict):
@@ -209,7 +209,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id), *text_key(F.col(text)), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, k1 long, k2 long, regs binary")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, n long, s1 long, s2 long, k1 long, k2 long, regs binary")
 
 
 def candidates(nodes: DataFrame, percent: int) -> DataFrame:
@@ -244,7 +244,7 @@ def candidates(nodes: DataFrame, percent: int) -> DataFrame:
                     b.append(node[s:e][label[tied]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    found = connected_components(met.mapInArrow(solve, "a long, b long"))
+    found = connected_components(met.mapInArrow(lean(solve), "a long, b long"))
     return found.select("node", F.col("component").alias("grp"))
 
 
@@ -272,7 +272,7 @@ def links(texts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows), [pa.int64(), pa.int64(), pa.int64(), pa.binary()])], names=["grp", "blocks", "node", "shingles"])
 
     joined = one_of_each(texts).join(asked, ["k1", "k2"]).select("node", "grp", "blocks", "text")
-    full = joined.mapInArrow(sets, "grp long, blocks long, node long, shingles binary")
+    full = joined.mapInArrow(lean(sets), "grp long, blocks long, node long, shingles binary")
     full = full.select("grp", F.explode(block_pairs(F.col("blocks"), F.pmod(F.xxhash64("node"), F.col("blocks")))).alias("p"), "node", "shingles")
     full = full.select("grp", "p.i", "p.j", "node", "shingles").repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
 
@@ -293,7 +293,7 @@ def links(texts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
                     b += node[s:e][label[tied]].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return full.mapInArrow(solve, "a long, b long")
+    return full.mapInArrow(lean(solve), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -323,9 +323,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     alone = alone.join(linked, ["s1", "s2"], "left").withColumn("grp", F.coalesce("component", "node"))
     classes = alone.select("s1", "s2", "grp", F.when(F.col("component").isNull(), F.col("own")).otherwise(F.col("component_id")).alias("component_id"))
     classes = stage(classes, "classes")
-    out = rows.select("doc_id", "n", "s1", "s2", "k1", "k2").join(classes, ["s1", "s2"], "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "grp", "k1", "k2")
+    plain = rows.select("doc_id", "n", "s1", "s2", "k1", "k2")
+    out = plain.where("n > 0").join(classes, ["s1", "s2"]).select("doc_id", "n", "component_id", "grp", "k1", "k2")
+    # those without shingles all look alike and meet nobody
+    out = out.union(plain.where("n = 0").select("doc_id", "n", "doc_id", F.lit(None).cast("long"), "k1", "k2"))
+    own = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", own.alias("kept"), "grp", "k1", "k2")
 
 
 def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:

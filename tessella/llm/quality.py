@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.cluster import stage
+from tessella.llm.cluster import lean, stage
 
 #: The statistics, in order.
 NAMES = ("bytes", "word_length", "upper", "punctuation", "main_mark", "digits", "space", "distinct_words", "repeated_words", "lines")
@@ -76,7 +76,7 @@ def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                 x = [statistics(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, x array<double>")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), f"doc_id {kind}, x array<double>")
 
 
 @dataclass
@@ -149,7 +149,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, doc_id: st
     two training rows, every score is 0.5.  Null ids are never trained on.
     """
     x = stage(features(docs, doc_id, text), "statistics")
-    y = labels.groupBy(F.col(doc_id).alias("doc_id")).agg(F.min(label).alias("y"))
+    y = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("doc_id")).agg(F.min(label).alias("y"))
     train = x.join(y.where(~held_out(F.col("doc_id"))), "doc_id")
     model = Discriminant.fit(moments(train))
     kind = x.schema["doc_id"].dataType.simpleString()
