@@ -14,8 +14,9 @@ suffixes; about one in 70 positions is one.
    whose splitters Spark samples.  A partition expands its suffixes, sorts them
    by their tokens (multikey quicksort) and compares neighbours.  A batch is cut
    only between grams, and the last, open one is carried over the boundary.
-   Grams with more than HOT contexts are instead counted suffix by suffix in a
-   hash aggregation, so no gram has to fit into a task.
+   A gram with more than HOT contexts is cut by further splitters, sampled on
+   its suffixes' next tokens and places; neighbours are then also compared
+   across the boundaries.
 4. Each text's removed runs are the union of its repeated suffixes' bytes.
 
 Texts that occur several times are read once; each byte of them is removed if
@@ -28,16 +29,16 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.cluster import one_of_each, release, stage, text_key
+from tessella.llm.cluster import lean, one_of_each, release, slices, stage, text_key
 
 WINDOW, GRAM = 200, 64
 #: Bytes handled at once, and texts whose keys a task remembers.
 SLICE, SEEN = 1 << 18, 1 << 17
-#: Contexts of a gram that a range partition takes, and contexts sorted at once.
+#: Contexts of a gram that are sorted in one place, and contexts sorted at once.
 HOT, BATCH = 5_000, 5_000
 
 
@@ -168,7 +169,7 @@ def anchors(texts: DataFrame) -> DataFrame:
                     cols = [k1[which], k2[which], g.view(np.int64), c.view(np.int64), low + offset, (high - low).astype(np.int16), (a - low).astype(np.int16)]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["k1", "k2", "g", "c", "low", "span", "lead"])
 
-    return texts.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, g long, c long, low long, span short, lead short")
+    return texts.select("k1", "k2", "text").mapInArrow(lean(run), "k1 long, k2 long, g long, c long, low long, span short, lead short")
 
 
 def multikey_groups(columns: list):
@@ -216,17 +217,15 @@ def expand(contexts: list[bytes], g, lead, one: Rolling, two: Rolling):
     return which, start, [token, one(p, p + half), one(p + half, p + WINDOW), two(p, p + WINDOW)]
 
 
-def repeated_runs(contexts: DataFrame) -> DataFrame:
-    """``k1, k2, start, end`` of the bytes that each context's repeated suffixes cover.
+def sort_contexts(contexts: DataFrame) -> DataFrame:
+    """``k1, k2, start, end`` of the bytes that the repeated suffixes of each context cover.
 
-    ``contexts`` has ``k1, k2, g, low, lead, n, bytes, hot``: one row for each
-    different context of a gram; ``n`` is how often it occurs.
+    Contexts are range-partitioned by their gram, the leading token; a bucket
+    sorts the suffixes of whole grams.
     """
-    out = "k1 long, k2 long, start long, end long"
-    few = contexts.where("not hot").select("g", "k1", "k2", "low", "lead", "n", "bytes")
-    few = few.repartitionByRange("g").sortWithinPartitions("g")
+    few = contexts.select("g", "k1", "k2", "low", "lead", "n", "bytes").repartitionByRange("g").sortWithinPartitions("g")
 
-    def sort_bucket(batches: Iterator) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
@@ -261,6 +260,19 @@ def repeated_runs(contexts: DataFrame) -> DataFrame:
             if rows:
                 yield solve(pa.Table.from_batches(held).combine_chunks())
 
+    return few.mapInArrow(lean(run), "k1 long, k2 long, start long, end long")
+
+
+def sort_suffixes(contexts: DataFrame) -> DataFrame:
+    """As :func:`sort_contexts`, for grams too crowded for one bucket.
+
+    Their suffixes themselves are range-partitioned: further splitters are
+    sampled on the tokens behind the gram, and among equal suffixes on the
+    place, so a crowd of any size is cut.  Each bucket compares sorted
+    neighbours; its first and last suffix are compared with those of the other
+    buckets, as equal suffixes on two sides of a boundary are at these ends.
+    """
+
     def spell(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -272,16 +284,61 @@ def repeated_runs(contexts: DataFrame) -> DataFrame:
                     t = whole.slice(at, 2000)
                     g, k1, k2, low, lead, n = (t.column(i).to_numpy().astype(np.int64) for i in range(6))
                     which, start, tokens = expand(t.column(6).to_pylist(), g, lead, one, two)
-                    w1 = mixed64(tokens[0] ^ mixed64(tokens[1] + np.uint64(1)) ^ mixed64(tokens[2] + np.uint64(2)))
-                    cols = [w1.view(np.int64), tokens[3].view(np.int64), k1[which], k2[which], (low + 0)[which], start.astype(np.int32), n[which]]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["w1", "w2", "k1", "k2", "low", "p", "n"])
+                    cols = [*(x.view(np.int64) for x in tokens), k1[which], k2[which], low[which], start.astype(np.int32), n[which]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["t0", "t1", "t2", "t3", "k1", "k2", "low", "p", "n"])
+
+    tokens, place = ["t0", "t1", "t2", "t3"], ["k1", "k2", "low", "p"]
+    many = contexts.select("g", "k1", "k2", "low", "lead", "n", "bytes")
+    suffixes = stage(many.mapInArrow(lean(spell), "t0 long, t1 long, t2 long, t3 long, k1 long, k2 long, low long, p int, n long"), "suffixes")
+    dealt = suffixes.repartitionByRange(*tokens, *place).sortWithinPartitions(*tokens, *place)
+
+    def compare(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
-    many = contexts.where("hot").select("g", "k1", "k2", "low", "lead", "n", "bytes")
-    suffixes = many.mapInArrow(spell, "w1 long, w2 long, k1 long, k2 long, low long, p int, n long")
-    twice = suffixes.groupBy("w1", "w2").agg(F.count("*").alias("m")).where("m > 1").drop("m")
-    hot = suffixes.where("n = 1").join(twice, ["w1", "w2"]).groupBy("k1", "k2", "low").agg(F.min("p").alias("a"), F.max("p").alias("b"))
-    hot = hot.select("k1", "k2", (F.col("low") + F.col("a")).alias("start"), (F.col("low") + F.col("b") + WINDOW).alias("end"))
-    return few.mapInArrow(sort_bucket, out).union(hot)
+        before = None  # the last row of the batch before, and whether it was told already
+        first = True
+
+        def rows(t, edge):
+            return pa.RecordBatch.from_arrays([*(t.column(c) for c in range(9)), pa.array(np.full(t.num_rows, edge))], names=[*tokens, *place, "n", "edge"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in range(4)])
+            same = (keys[:, 1:] == keys[:, :-1]).all(0)
+            tied = np.append(False, same) | np.append(same, False)
+            if before is not None and (before[0] == keys[:, 0]).all():
+                tied[0] = True
+                if not before[2]:
+                    yield rows(before[1], False)
+            yield rows(batch.take(pa.array(np.flatnonzero(tied))), False)
+            if first:
+                yield rows(batch.slice(0, 1), True)
+                first = False
+            before = keys[:, -1], batch.slice(batch.num_rows - 1), bool(tied[-1])
+        if before is not None:
+            yield rows(before[1], True)
+
+    told = stage(dealt.mapInArrow(lean(compare), "t0 long, t1 long, t2 long, t3 long, k1 long, k2 long, low long, p int, n long, edge boolean"), "told")
+    ends = told.where("edge").drop("edge").distinct()  # two rows for each bucket at most
+    across = ends.join(ends.groupBy(*tokens).agg(F.count("*").alias("m")).where("m > 1"), tokens, "left_semi")
+    hit = told.where("not edge").drop("edge").union(across.select(*tokens, *place, "n")).where("n = 1")
+    found = hit.groupBy("k1", "k2", "low").agg(F.min("p").alias("a"), F.max("p").alias("b"))
+    return found.select("k1", "k2", (F.col("low") + F.col("a")).alias("start"), (F.col("low") + F.col("b") + WINDOW).alias("end"))
+
+
+def merged_runs(runs: DataFrame) -> DataFrame:
+    """``k1, k2, runs``: the union of each text's runs (``start, end``) as disjoint, ordered ones.
+
+    A run has WINDOW bytes or more, so a text's list is a small part of its size.
+    """
+    w = Window.partitionBy("k1", "k2").orderBy("start", "end")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = runs.withColumn("fresh", F.when(F.col("start") <= before, 0).otherwise(1))
+    numbered = fresh.withColumn("run", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = numbered.groupBy("k1", "k2", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return whole.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))
 
 
 def removals(docs: DataFrame, text: str = "text", with_text: bool = False) -> DataFrame:
@@ -300,36 +357,46 @@ def removals(docs: DataFrame, text: str = "text", with_text: bool = False) -> Da
     release(found, by_gram)
     # of the grams with several contexts, one anchor of each context is sorted
     open_ = led.where("not same")
-    kinds = open_.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "low")).alias("first"))
-    crowds = kinds.groupBy("g").agg(F.count("*").alias("kinds"))
-    kinds = kinds.join(crowds, "g").withColumn("hot", F.col("kinds") > HOT).drop("kinds")
-    open_ = open_.join(kinds, ["g", "c"])
-    asked = F.struct("k1", "k2", "low") == F.col("first")
-    rows = open_.select("k1", "k2", "g", "low", "span", "lead", "n", "hot", asked.alias("asked"))
-    closed = led.where("same").select("k1", "k2", "g", "low", "span", "lead", F.lit(2).cast("long").alias("n"), F.lit(False).alias("hot"), F.lit(False).alias("asked"))
-    listed = closed.union(rows).groupBy("k1", "k2").agg(F.collect_set(F.struct("g", "low", "span", "lead", "n", "hot", "asked")).alias("anchors"))
-    # the only time that whole texts move
+    kinds = stage(open_.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "low")).alias("first")), "kinds")
+    crowds = stage(kinds.groupBy("g").agg(F.count("*").alias("kinds")).where(F.col("kinds") > HOT).select("g"), "crowds")
+    rows = open_.join(kinds, ["g", "c"])
+    asked = rows.where(F.struct("k1", "k2", "low") == F.col("first")).select("k1", "k2", F.struct("g", "low", "span", "lead", "n").alias("a"))
+    asked = asked.groupBy("k1", "k2").agg(F.collect_list("a").alias("anchors"))
+    until = (F.col("low") + F.col("span") + WINDOW).alias("end")
+    known = led.where("same").select("k1", "k2", F.col("low").alias("start"), until)
+    known = merged_runs(known.union(rows.where("n > 1").select("k1", "k2", F.col("low").alias("start"), until)))
+    listed = stage(known.join(asked, ["k1", "k2"], "full"), "listed")
+    release(led, kinds)
+    # the only time that all whole texts move
     parts = stage(one_of_each(texts).join(listed, ["k1", "k2"]), "parts")
-    release(led)
-    asked = parts.select("k1", "k2", "text", F.filter("anchors", lambda a: a["asked"]).alias("anchors")).where(F.size("anchors") > 0)
+    release(listed)
 
     def cut_contexts(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
-        names = ["k1", "k2", "g", "low", "lead", "n", "bytes", "hot"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
+        names = ["k1", "k2", "g", "low", "lead", "n", "bytes"]
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                rows = []
-                for r in batch.slice(at, 64).to_pylist():
-                    b = r["text"].encode()
-                    rows += [(r["k1"], r["k2"], a["g"], a["low"], a["lead"], a["n"], b[a["low"] : a["low"] + a["span"] + WINDOW], a["hot"]) for a in r["anchors"]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows), types)], names=names)
-
-    contexts = asked.mapInArrow(cut_contexts, "k1 long, k2 long, g long, low long, lead long, n long, bytes binary, hot boolean")
-    runs = repeated_runs(contexts).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("found"))
-    whole = parts.select("k1", "k2", "text", F.transform(F.filter("anchors", lambda a: a["n"] > 1), lambda a: F.struct(a["low"].alias("start"), (a["low"] + a["span"] + WINDOW).alias("end"))).alias("known"))
-    whole = whole.join(runs, ["k1", "k2"], "left").where("size(known) > 0 or found is not null")
+            for s, count in slices(batch.column(2), SLICE):
+                part = batch.slice(s, count)
+                lists = part.column(3)
+                which = np.repeat(np.arange(count), np.diff(lists.offsets.to_numpy()))
+                g, low, span, lead, n = (lists.flatten().field(c).to_numpy().astype(np.int64) for c in range(5))
+                texts = [t.encode() for t in part.column(2).to_pylist()]
+                cut = [texts[i][a:b] for i, a, b in zip(which.tolist(), low.tolist(), (low + span + WINDOW).tolist())]
+                k1, k2 = (part.column(c).to_numpy()[which] for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (k1, k2, g, low, lead, n)), pa.array(cut, pa.binary())], names=names)
+
+    cut = parts.where("anchors is not null").select("k1", "k2", "text", "anchors")
+    contexts = stage(cut.mapInArrow(lean(cut_contexts), "k1 long, k2 long, g long, low long, lead long, n long, bytes binary"), "contexts")
+    if crowds.isEmpty():
+        runs = sort_contexts(contexts)
+    else:
+        runs = sort_contexts(contexts.join(crowds, "g", "left_anti")).union(sort_suffixes(contexts.join(crowds, "g", "left_semi")))
+    runs = stage(merged_runs(runs).withColumnRenamed("runs", "found"), "runs")
+    release(contexts, crowds)
+    whole = parts.select("k1", "k2", "text", F.col("runs").alias("known")).join(runs, ["k1", "k2"], "left").where("known is not null or found is not null")
+    whole = whole.select("k1", "k2", "text", F.concat(F.coalesce("known", F.array()), F.coalesce("found", F.array())).alias("runs"))
     schema = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     if with_text:
         schema = schema.add("kept", T.StringType())
@@ -338,28 +405,56 @@ def removals(docs: DataFrame, text: str = "text", with_text: bool = False) -> Da
         import numpy as np
         import pyarrow as pa
 
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                rows = []
-                for r in batch.slice(at, 64).to_pylist():
-                    b = np.frombuffer(r["text"].encode(), np.uint8)
-                    step = np.zeros(len(b) + 1, np.int32)
-                    for x in (*r["known"], *(r["found"] or ())):
-                        step[x["start"]] += 1
-                        step[x["end"]] -= 1
-                    gone = np.cumsum(step[:-1]) > 0
-                    spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
-                    row = [r["k1"], r["k2"], int(gone.sum()), spans, hashlib.sha256(b[~gone].tobytes()).hexdigest()]
+            for s, count in slices(batch.column(2), SLICE):
+                part = batch.slice(s, count)
+                lists = part.column(3)
+                edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                start, end = (lists.flatten().field(c).to_numpy() for c in (0, 1))
+                out = []
+                for i, t in enumerate(part.column(2).to_pylist()):
+                    b = t.encode()
+                    order = edges[i] + np.argsort(start[edges[i] : edges[i + 1]], kind="stable")
+                    gone = union_of(start[order], end[order])
+                    row = [sum(y - x for x, y in gone), len(gone), hashlib.sha256(b"".join(left_of(b, gone))).hexdigest()]
                     if with_text:
-                        char = np.cumsum((b & 0xC0) != 0x80) - 1
-                        hurt = np.zeros(char[-1] + 1, bool)
-                        hurt[char[gone]] = True
-                        row.append(b[~hurt[char]].tobytes().decode())
-                    rows.append(row)
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows), types)], names=schema.names)
-
-    return whole.mapInArrow(remove, schema)
+                        row.append(b"".join(left_of(b, whole_characters(b, gone))).decode())
+                    out.append(row)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, y) for x, y in zip(zip(*out), types))], names=schema.names)
+
+    return whole.mapInArrow(lean(remove), schema)
+
+
+def union_of(start, end) -> list[tuple[int, int]]:
+    """Maximal runs that intervals, ordered by their start, cover."""
+    import numpy as np
+
+    reach = np.maximum.accumulate(end)
+    first = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]]))
+    return list(zip(start[first].tolist(), reach[np.append(first[1:], len(reach)) - 1].tolist()))
+
+
+def left_of(b: bytes, gone: list[tuple[int, int]]) -> Iterator[bytes]:
+    """The pieces of ``b`` outside some ordered intervals, which may overlap."""
+    at = 0
+    for x, y in gone:
+        if x > at:
+            yield b[at:x]
+        at = max(at, y)
+    yield b[at:]
+
+
+def whole_characters(b: bytes, gone: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Intervals widened to whole characters of UTF-8."""
+    out = []
+    for x, y in gone:
+        while b[x] & 0xC0 == 0x80:
+            x -= 1
+        while y < len(b) and b[y] & 0xC0 == 0x80:
+            y += 1
+        out.append((x, y))
+    return out
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

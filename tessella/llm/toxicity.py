@@ -1,16 +1,15 @@
 """Toxicity by a classifier chain of linear models.
 
-Features of a text are its words and their beginnings.  Document counts by
-category over all labelled rows choose those that tell the categories apart:
-first over hash buckets of all features, then exactly over the features in the
-buckets that stand out, so no two features are taken for one.  The categories are then learned in order, each by a
-regularised logistic regression on the chosen features and on the earlier
-categories' probabilities; in training these are out-of-fold predictions, so a
-later model never sees a probability fitted to the same row.
-
-Counting and scoring cover all rows.  The regressions are fitted on the driver
-on at most SAMPLE labelled rows (by hash of the id), of which only chosen
-feature numbers are sent.
+Features of a text are its words and their beginnings.  Their document counts
+by category over all labelled rows choose those that tell the categories apart.
+The categories are then learned in order, each by a regularised logistic
+regression on the chosen features and on the earlier categories' probabilities;
+in training these are out-of-fold predictions, so a later model never sees a
+probability fitted to the same row.
+
+Counting and scoring cover all rows.  The regressions are fitted on at most
+SAMPLE labelled rows (by hash of the id), as tasks of their own; only numbers
+of chosen features are sent to them.
 """
 
 from __future__ import annotations
@@ -18,29 +17,28 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.cluster import stage
+from tessella.llm.cluster import lean, slices, stage
 
-#: Hash buckets, buckets and features chosen for a category, labelled rows fitted on, folds.
-BUCKETS, STANDING, CHOSEN, SAMPLE, FOLDS = 1 << 16, 768, 192, 20_000, 3
+#: Features chosen for a category at most, labelled rows fitted on, folds.
+CHOSEN, SAMPLE, FOLDS = 512, 20_000, 3
+#: Evidence (a log-likelihood ratio, about chi-squared) that a feature needs.
+EVIDENCE = 15.0
+#: Different features that a worker counts before it tells its counts.
+HELD = 1 << 18
 #: Labels (16 bytes each) that are broadcast at most; more are joined by shuffle.
 BROADCAST_LABELS = 4_000_000
 #: Lengths of the word beginnings used beside whole words.
 STARTS = (4, 5, 6)
 #: Words remembered by a worker.
-CACHE = 150_000
+CACHE = 100_000
 #: Languages with their own category at most, and toxic rows that one needs.
 LANGUAGES, LEAST = 8, 20
 
 
-def bucket(name: str) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(name) % BUCKETS
-
-
 class Names(dict):
     """What each feature of a word stands for; features that stand for nothing are left out."""
 
@@ -129,22 +127,21 @@ class Chain:
     models: list = field(default_factory=list)
     threshold: float = 0.5
 
-    def fit(self, rows, y, fold) -> Chain:
-        """y: a column for each category; fold: of each row."""
+    def fit(self, rows, y, fold, fits) -> Chain:
+        """y: a column for each category; fold: of each row; fits: gives a category's models."""
         import numpy as np
 
         i, j = rows
         earlier = np.zeros((len(y), 0))
         for c in range(len(self.categories)):
             out_of_fold = np.zeros(len(y))
-            for f in range(FOLDS):
+            *parts, whole = fits(earlier, y[:, c])
+            for f, model in enumerate(parts):
                 out = fold == f
-                use = ~out[i]
-                place = np.cumsum(~out) - 1
-                model = Linear().fit((place[i[use]], j[use]), earlier[~out], y[~out, c], len(self.chosen))
+                use = out[i]
                 place = np.cumsum(out) - 1
-                out_of_fold[out] = model.predict((place[i[~use]], j[~use]), earlier[out])
-            self.models.append(Linear().fit(rows, earlier, y[:, c], len(self.chosen)))
+                out_of_fold[out] = model.predict((place[i[use]], j[use]), earlier[out])
+            self.models.append(whole)
             earlier = np.column_stack([earlier, out_of_fold])
         # the cut that makes fewest errors out of fold (a false alarm counts double), in the middle of the gap
         p, truth = earlier[:, -1], y[:, -1]
@@ -172,16 +169,44 @@ def ones(lists: list[list[int]]):
     return np.repeat(np.arange(len(lists)), sizes), np.array([b for x in lists for b in x], np.int64)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Chain | None:
+def fits(spark: SparkSession, data: Broadcast, earlier, target, n_sparse: int) -> list[Linear]:
+    """A category's model for each fold left out, and last the one on all rows; each is a task."""
+    import numpy as np
+
+    sent = spark.sparkContext.broadcast((earlier, target))
+    schema = "k int, sparse array<double>, dense array<double>, bias double"
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        (i, j, fold), (earlier, target) = data.value, sent.value
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                out = fold == k
+                use = ~out[i]
+                place = np.cumsum(~out) - 1
+                m = Linear().fit((place[i[use]], j[use]), earlier[~out], target[~out], n_sparse)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([m.sparse]), pa.array([m.dense], pa.list_(pa.float64())), pa.array([m.bias])], names=["k", "sparse", "dense", "bias"])
+
+    numbers = spark.range(0, FOLDS + 1, 1, FOLDS + 1).select(F.col("id").cast("int").alias("k"))
+    found = sorted(numbers.mapInArrow(lean(run), schema).collect(), key=lambda r: r["k"])
+    sent.unpersist()
+    return [Linear(np.array(r["sparse"]), np.array(r["dense"]), r["bias"]) for r in found]
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", languages: int = LANGUAGES) -> Chain | None:
     """Learn the chain from all labelled rows; None if nothing or one class only is labelled.
 
-    Categories are toxicity within each language that has LEAST toxic labelled
-    rows, most frequent first, and last ``label`` itself.  Languages only make
+    Categories are toxicity within each of the ``languages`` languages with
+    most toxic labelled rows, LEAST at least, and last ``label`` itself, which
+    is learned from all rows, whatever their language.  Languages only make
     training targets: no model gets them as an input.  An id with several
-    labels counts as toxic if one of them says so.
+    labels counts as toxic if one of them says so.  Null ids have no label;
+    null and empty texts are rows without features.
     """
     import numpy as np
 
+    spark = docs.sparkSession
     y = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("__toxic"))
     y = stage(y.where("doc_id is not null"), "labels")
     small = y.count() <= BROADCAST_LABELS
@@ -192,81 +217,107 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Chain | N
     if not positive or positive == n:
         return None
     most = known.where("__toxic = 1 and lang is not null").groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
-    most = most.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    most = most.orderBy(F.desc("n"), "lang").limit(languages).collect()
     langs = [r["lang"] for r in most]
     categories = [*(f"toxic_{x}" for x in langs), "toxic"]
     inside = [*(r["n"] for r in most), positive]
     columns = [f"c{k}" for k in range(len(categories) + 1)]  # the last counts all rows
 
     def count(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
-        names, total = Names(bucket), np.zeros((len(columns), BUCKETS), np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                for text, lang, toxic in zip(*(batch.slice(at, 200).column(k).to_pylist() for k in range(3))):
-                    found = features(text, names)
-                    total[-1][found] += 1
-                    if toxic:
-                        total[-2][found] += 1
-                        if lang in langs:
-                            total[langs.index(lang)][found] += 1
-        used = np.flatnonzero(total[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(t[used]) for t in total)], names=["feature", *columns])
-
-    def standing_out(counts: DataFrame, most: int) -> dict:
-        """Numbers of the features that tell a category apart best, ``most`` for each."""
-        found: dict = {}
-        for k in range(len(categories)):
-            a, b = F.col(f"c{k}"), F.col(columns[-1]) - F.col(f"c{k}")
-            p, q = (a + 0.5) / (inside[k] + 1), (b + 0.5) / (n - inside[k] + 1)
-            gain = F.abs(F.log(p / q)) * F.sqrt(F.greatest(p, q))
-            for r in counts.where(F.col(columns[-1]) >= 3).orderBy(gain.desc(), "feature").limit(most).collect():
-                found.setdefault(r["feature"], len(found))
-        return found
+        ids: dict[str, int] = {}
+        names = Names(lambda f: ids.setdefault(f, len(ids)))
+        met: list[list] = [[] for _ in columns]
 
-    of_text = known.select("text", "lang", "__toxic")
-    counts = of_text.mapInArrow(count, "feature long, " + ", ".join(f"{c} long" for c in columns))
-    buckets = standing_out(stage(counts.groupBy("feature").agg(*[F.sum(c).alias(c) for c in columns]), "buckets"), STANDING)
-
-    def name(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+        def told():
+            counts = [np.bincount(np.concatenate(m) if m else np.zeros(0, np.int64), minlength=len(ids)) for m in met]
+            out = pa.RecordBatch.from_arrays([pa.array(list(ids)), *(pa.array(c) for c in counts)], names=["feature", *columns])
+            ids.clear()
+            names.clear()
+            for m in met:
+                m.clear()
+            return out
 
-        names = Names(lambda f: f if bucket(f) in buckets else None)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                s = batch.slice(at, 200)
-                found = [features(t, names) for t in s.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(s.column(k) for k in range(1, 5)), pa.array(found, pa.list_(pa.string()))], names=["lang", "toxic", "fold", "part", "features"])
+            for text, lang, toxic in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                found = np.array(features(text, names), np.int32)
+                met[-1].append(found)
+                if toxic:
+                    met[-2].append(found)
+                    if lang in langs:
+                        met[langs.index(lang)].append(found)
+            if len(ids) >= HELD or sum(map(len, met[-1])) >= 16 * HELD:
+                yield told()
+        if ids:
+            yield told()
 
-    fold = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("part")
-    named = known.select("text", "lang", F.col("__toxic").alias("toxic"), fold, part).mapInArrow(name, "lang string, toxic int, fold int, part long, features array<string>")
-    named = stage(named, "features")
-    toxic = F.col("toxic") == 1
-    sums = [F.count(F.when(toxic & (F.col("lang") == x), 1)) for x in langs] + [F.count(F.when(toxic, 1)), F.count("*")]
-    exact = named.select("lang", "toxic", F.explode("features").alias("feature")).groupBy("feature").agg(*[c.alias(k) for c, k in zip(sums, columns)])
-    chosen = standing_out(stage(exact, "features"), CHOSEN)
-    sample = named.where(F.col("part") < int(min(1.0, SAMPLE / n) * (1 << 20)))
+    of_text = known.select("text", "lang", "__toxic")
+    partial = of_text.mapInArrow(lean(count), "feature string, " + ", ".join(f"{c} long" for c in columns))
+    counts = stage(partial.groupBy("feature").agg(*[F.sum(c).alias(c) for c in columns]).where(F.col(columns[-1]) >= 3), "features")
+    chosen: dict[str, int] = {}
+    for k in range(len(categories)):
+        for f in standing_out(counts, columns, k, inside[k], n):
+            chosen.setdefault(f, len(chosen))
 
     def number(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        names = Names(chosen.get)
         for batch in batches:
-            found = [sorted(chosen[f] for f in r if f in chosen) for r in batch.column(4).to_pylist()]
-            targets = [batch.column(0).to_pylist(), batch.column(1).to_pylist()]
+            found = [features(t, names) for t in batch.column(0).to_pylist()]
+            targets = [batch.column(1).to_pylist(), batch.column(2).to_pylist()]
             category = [(langs.index(x) if x in langs else len(langs)) if t else -1 for x, t in zip(*targets)]
-            yield pa.RecordBatch.from_arrays([pa.array(category, pa.int32()), batch.column(2), batch.column(3), pa.array(found, pa.list_(pa.int32()))], names=["category", "fold", "part", "features"])
+            yield pa.RecordBatch.from_arrays([pa.array(category, pa.int32()), batch.column(3), batch.column(4), pa.array(found, pa.list_(pa.int32()))], names=["category", "fold", "part", "features"])
 
     # category: a toxic row's language by number, any other language after them, -1 if not toxic
-    sent = sample.mapInArrow(number, "category int, fold int, part long, features array<int>")
+    fold = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("part")
+    sample = known.select("text", "lang", F.col("__toxic").alias("toxic"), fold, part).where(F.col("part") < int(min(1.0, SAMPLE / n) * (1 << 20)))
+    sent = stage(sample.mapInArrow(lean(number), "category int, fold int, part long, features array<int>"), "sample")
     t = sent.orderBy("part", "category", "features").toArrow().combine_chunks()
     category, fold_of = t.column("category").to_numpy(), t.column("fold").to_numpy()
     lists = t.column("features").combine_chunks() if t.column("features").num_chunks != 1 else t.column("features").chunk(0)
     rows = np.repeat(np.arange(t.num_rows, dtype=np.int32), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
     truth = np.column_stack([*(category == k for k in range(len(langs))), category >= 0]).astype(float)
-    return Chain(categories, chosen).fit(rows, truth, fold_of)
+    data = spark.sparkContext.broadcast((*rows, fold_of))
+    chain = Chain(categories, chosen).fit(rows, truth, fold_of, lambda earlier, y: fits(spark, data, earlier, y, len(chosen)))
+    data.unpersist()
+    return chain
+
+
+def standing_out(counts: DataFrame, columns: list[str], k: int, inside: int, n: int) -> list[str]:
+    """The features that tell category ``k`` apart best and beyond chance, at most CHOSEN.
+
+    A beginning that all its rows share with one word says no more than the
+    word, and takes no place.
+    """
+    from math import log
+
+    a, b = F.col(f"c{k}"), F.col(columns[-1]) - F.col(f"c{k}")
+    p, q = (a + 0.5) / (inside + 1), (b + 0.5) / (n - inside + 1)
+    gain = F.abs(F.log(p / q)) * F.sqrt(F.greatest(p, q))
+    best = counts.orderBy(gain.desc(), "feature").limit(4 * CHOSEN).collect()
+
+    def evidence(r) -> float:
+        """The log-likelihood ratio that the shares in and out of the category differ."""
+        x, total = r[f"c{k}"], r[columns[-1]]
+        part = lambda m, e: m * log(m / e) if m else 0.0
+        share = total / n
+        seen = part(x, inside * share) + part(total - x, (n - inside) * share)
+        return 2 * (seen + part(inside - x, inside * (1 - share)) + part(n - inside - total + x, (n - inside) * (1 - share)))
+
+    words: dict[tuple, list[str]] = {}
+    for r in best:
+        if not r["feature"].startswith("^"):
+            words.setdefault(tuple(r[c] for c in columns), []).append(r["feature"])
+    found = []
+    for r in best:
+        f = r["feature"]
+        alike = words.get(tuple(r[c] for c in columns), ()) if f.startswith("^") else ()
+        if evidence(r) >= EVIDENCE and not any(w.startswith(f[1:]) for w in alike):
+            found.append(f)
+    return found[:CHOSEN]
 
 
 def score(docs: DataFrame, chain: Chain | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text", names: tuple[str, str, str] = ("toxicity", "toxic", "categories")) -> DataFrame:
@@ -274,31 +325,35 @@ def score(docs: DataFrame, chain: Chain | None, keep: tuple[str, ...] = ("doc_id
 
     Null and empty texts have no features and get the models' base rate, which
     is below the threshold.  Without a chain (nothing to learn from) toxicity
-    is 0 and nothing is toxic.
+    is 0 and nothing is toxic.  Only the text goes to Python; the kept columns
+    stay where they are.
     """
-    from pyspark.sql import types as T
+    from pyspark.sql.pandas.functions import ArrowUDFType
 
-    kept = docs.select(*keep)
-    each = T.ArrayType(T.StructType([T.StructField("category", T.StringType()), T.StructField("probability", T.DoubleType())]))
-    schema = T.StructType([*kept.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.BooleanType()), T.StructField(names[2], each)])
     if chain is None:
-        empty = F.array().cast(each)
+        empty = F.array().cast("array<struct<category:string,probability:double>>")
         return docs.select(*keep, F.lit(0.0).alias(names[0]), F.lit(False).alias(names[1]), empty.alias(names[2]))
+    sent = docs.sparkSession.sparkContext.broadcast(chain)  # CHOSEN features a category at most
 
-    def run(batches: Iterator) -> Iterator:
+    def judge(texts: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
+        chain = sent.value
         known = Names(chain.chosen.get)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = [features(t, known) for t in part.column(part.num_columns - 1).to_pylist()]
-                p = chain.predict(ones(found), len(found))
-                # a text without any chosen feature has nothing to be judged by
-                last = [x if f else min(x, chain.threshold / 2) for x, f in zip(p[:, -1].tolist(), found)]
-                lists = [[{"category": c, "probability": x} for c, x in zip(chain.categories, r)] for r in p.tolist()]
-                out = [part.column(i) for i in range(part.num_columns - 1)]
-                out += [pa.array(last, pa.float64()), pa.array([x >= chain.threshold for x in last]), pa.array(lists, pa.list_(pa.struct([("category", pa.string()), ("probability", pa.float64())])))]
-                yield pa.RecordBatch.from_arrays(out, names=schema.names)
-
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+        for batch in texts:
+            p, some = [], []
+            for start, count in slices(batch):
+                found = [features(t, known) for t in batch.slice(start, count).to_pylist()]
+                p.append(chain.predict(ones(found), len(found)))
+                some += [len(f) > 0 for f in found]
+            p = np.concatenate(p) if p else np.zeros((0, len(chain.categories)))
+            # a text without any chosen feature has nothing to be judged by
+            last = np.where(some, p[:, -1], np.minimum(p[:, -1], chain.threshold / 2)) if len(p) else np.zeros(0)
+            each = pa.StructArray.from_arrays([pa.array(chain.categories * len(p), pa.string()), pa.array(p.ravel())], names=["category", "probability"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * len(chain.categories), pa.int32()), each)
+            yield pa.StructArray.from_arrays([pa.array(last), pa.array(last >= chain.threshold), lists], names=["toxicity", "toxic", "categories"])
+
+    judged = F.arrow_udf(judge, "struct<toxicity:double,toxic:boolean,categories:array<struct<category:string,probability:double>>>", ArrowUDFType.SCALAR_ITER)
+    scored = docs.select(*keep, judged(F.col(text).cast("string")).alias("__tsl_judged"))
+    return scored.select(*keep, *[F.col(f"__tsl_judged.{c}").alias(n) for c, n in zip(("toxicity", "toxic", "categories"), names)])
