@@ -199,12 +199,13 @@ def best_apart(found, sizes: dict[str, int]) -> list:
     return kept
 
 
-def align(template: list[bytes], text: list[bytes], low: int, high: int, start: int, stop: int) -> tuple[int, int, int]:
+def align(template: list[bytes], text: list[bytes], low: int, high: int, start: int = 0, stop: int | None = None) -> tuple[int, int, int]:
     """Best local alignment on the diagonals low..high (text minus template place), in text[start:stop].
 
     Equal words gain 2, others and gaps cost 1.  Returns the matched words and
     the span of the text; of equal scores the first.
     """
+    stop = len(text) if stop is None else stop
     best = (0, 0, 0, 0)  # score, matched, first, end
     nothing = (0, 0, -1)
     width = high - low + 1

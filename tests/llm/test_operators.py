@@ -305,12 +305,12 @@ def test_cells_of_pivots_that_point_the_same_way():
     assert reach.all()
 
 
-@pytest.mark.parametrize(("n_rows", "n_queries"), [(32768, 256), (50, 3)])
+@pytest.mark.parametrize(("n_rows", "n_queries"), [(16384, 1 << 24), (50, 200)])
 def test_top_k(spark, monkeypatch, n_rows, n_queries):
     import numpy as np
 
     monkeypatch.setattr(topk_search, "ROWS", n_rows)
-    monkeypatch.setattr(topk_search, "QUERIES", n_queries)
+    monkeypatch.setattr(topk_search, "QUERY_BYTES", n_queries)
     rng = np.random.default_rng(0)
     base = rng.normal(size=(260, 8))
     base[40:80] = base[40]
@@ -426,7 +426,7 @@ def test_short_licenses_with_words_between(spark):
         (4, "all our rights stay reserved"),
     ]
     got = {(r[0], r[1]): r[2] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {(1, "MIT"): 1.0, (2, "MIT"): 0.8, (4, "all-rights-reserved"): 1.0}
+    assert got == pytest.approx({(1, "MIT"): 5 / 5.75, (2, "MIT"): 0.8, (4, "all-rights-reserved"): 3 / 3.5})
 
 
 def test_quality_factors():
@@ -447,3 +447,112 @@ def test_quality_factors():
         d = x - data[k].mean(0)
         want.append(-0.5 * (np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d) + np.linalg.slogdet(cov)[1]))
     assert model.score(x) == pytest.approx(1 / (1 + np.exp((want[0] - want[1]) / quality.TEMPERATURE)))
+
+
+def test_vectors_of_any_size(spark):
+    rows = [(1, [1e200, 1e200], 1), (2, [2e200, 2e200], 1), (3, [1e-200, 2e-200], 1), (4, [1.0, 0.1], 1), (5, [5e-324, 1e-323], 1), (6, [0.0, 0.0], 1), (7, None, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(tuple(r) for r in embed_dedup.near_duplicates(df).collect())
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 0, 4, True), (5, 1, 3, False), (6, 0, 6, True), (7, 0, 7, True)]
+    with pytest.raises(Exception, match="vector too long for scores of 64 bits"):
+        topk_search.top_k(df, df)
+
+
+def test_empty_texts_of_a_source_at_its_cap(spark):
+    rows = [(i, "w " * 5, "a") for i in range(10)] + [(100 + i, "", "a") for i in range(3)] + [(200 + i, "v " * 400, "b") for i in range(9)] + [(300, None, "c"), (None, "", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r["source"], r["size"], r["epochs"]) for r in mixing.mix(df).collect()]
+    assert {e for s, n, e in got if s == "a"} == {3} and {e for s, n, e in got if s == "c"} == {1}
+    assert max(e for _, _, e in got) == 3
+    clashing = df.withColumn("__id", F.lit(1)).withColumn("__size", F.lit("x")).withColumn("__epochs", F.lit(2))
+    out = mixing.mixed(clashing)
+    assert out.columns == clashing.columns and out.count() == sum(e for _, _, e in got)
+
+
+def test_one_notice_gives_one_license(spark):
+    notices = {"CC-BY-4.0": "Licensed under CC BY 4.0.", "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0."}
+    index = license_scan.Index(license_scan.TEMPLATES)
+    for name, notice in notices.items():
+        assert [m[:2] for m in index.scan(license_scan.words(f"front text {notice} and more"), 0.8)] == [(name, 1.0)]
+    many = license_scan.words("Licensed under CC BY 4.0. " * 1000)
+    assert [(m[0], m[3], m[4]) for m in index.scan(many, 0.8)] == [("CC-BY-4.0", 6 * i, 6 * i + 6) for i in range(1000)]
+
+
+def full_scan(index, text, least=0.8):
+    """All templates aligned without a band over the whole text, again beside each match."""
+    found = set()
+    for name, template in zip(index.names, index.words):
+        parts = [(0, len(text))]
+        while parts:
+            a, b = parts.pop()
+            matched, first, end = license_scan.align(template, text, -len(template), len(text), a, b)
+            if matched:
+                covered = matched / (len(template) + license_scan.GAP * (end - first - matched))
+                if covered >= least:
+                    found.add((name, covered, matched, first, end))
+                parts += [(x, y) for x, y in ((a, first), (end, b)) if y - x >= least * len(template) and covered >= least]
+    return license_scan.best_apart(found, {n: len(w) for n, w in zip(index.names, index.words)})
+
+
+def test_scan_equals_a_scan_without_index_and_band():
+    rng = random.Random(4)
+    index = license_scan.Index(license_scan.TEMPLATES)
+    filler = ["lorem", "under", "ipsum", "license", "the", "of", "rights"]
+    for _ in range(60):
+        text = [rng.choice(filler) for _ in range(rng.randint(0, 25))]
+        for _ in range(rng.randint(0, 2)):
+            text += license_scan.TEMPLATES[rng.choice(index.names)].split() + [rng.choice(filler) for _ in range(rng.randint(3, 25))]
+        got = license_scan.words(" ".join(text))
+        assert index.scan(got, 0.8) == full_scan(index, got)
+
+
+def test_long_periodic_texts(spark):
+    texts = ["ab" * 40_000, "x" * 60_000 + "end", "front" + "ab" * 3_000 + "back", "abc " * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r)[:4] for r in suffix_dedup.dedup(df).collect())
+    want = []
+    for i, t in enumerate(texts):
+        n = len(t)
+        want.append({0: (i, n, n, 1), 1: (i, n, n - 3, 1), 2: (i, n, n - 9, 1), 3: (i, n, n, 1)}[i])
+    assert got == want
+
+
+def test_quality_equals_a_plain_discriminant(spark):
+    import zlib
+
+    import numpy as np
+
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["abc", "Word", "12", "x!", "tion"]) for _ in range(rng.randint(0, 60)))) for i in range(400)]
+    labels = [(i, rng.randint(0, 1)) for i in range(0, 400, 2)] + [(0, -1), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality.score(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    x = {i: np.array(quality.statistics(t)) for i, t in rows}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in x}
+    data = {k: np.array([x[i] for i, y in labels if y == k and not held[i]]) for k in (0, 1)}
+    every = sum(len(v) for v in data.values())
+    pooled = sum(v.var(0) * len(v) for v in data.values()) / every
+    density = []
+    for k in (0, 1):
+        cov = np.cov(data[k].T)
+        cov = (1 - quality.SHRINKAGE) * cov + quality.SHRINKAGE * np.diag(np.diag(cov)) + quality.RIDGE * np.diag(np.maximum(pooled, 1e-6))
+        d = np.array([x[i] for i, _ in rows]) - data[k].mean(0)
+        density.append(-0.5 * (np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d) + np.linalg.slogdet(cov)[1]))
+    odds = np.log(len(data[1]) / len(data[0]))
+    want = 1 / (1 + np.exp(-((density[1] - density[0]) / quality.TEMPERATURE + odds)))
+    assert [got[i]["score"] for i, _ in rows] == pytest.approx(want.tolist(), abs=1e-6)
+    assert all(got[i]["held_out"] == held[i] for i in x)
+
+
+def test_folder_that_all_nodes_share(spark):
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda key, default=None: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            _jsc = spark.sparkContext._jsc
+
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        with pytest.raises(ValueError, match="all nodes share"):
+            cluster.shared_dir(Elsewhere)
