@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text as X
 from tessella.functions.text import any_of
 from tessella.operators.classify import is_test_path
-from tessella.plans.staging import stage
+from tessella.plans.staging import once, stage
 
 FORWARD, REVERSE = "forward", "reverse"
 #: Depths used by the command line, the tool server and triggers when none is given.
@@ -22,7 +22,7 @@ def direction(name: str) -> str:
 def related(edges: DataFrame, path: str, rel: str | None = None, way: str = FORWARD, package: str | None = None) -> DataFrame:
     """Edges out of a node, or into it and (if given) into its package's node.
 
-    Two pushed-down equality filters; nothing is shuffled.
+    Equality filters, which stored edges push down to the scan; nothing is shuffled.
     """
     if direction(way) == FORWARD:
         out = edges.where(F.col("src") == path)
@@ -90,8 +90,10 @@ def impact(edges: DataFrame, start: str, max_depth: int = 10, external: bool = F
     ``<repo>/<path>``; the suffix is matched by an equality, not a scan.
     ``package`` (``node, package``) adds importers of a node's package.  The
     start itself is no result; an unknown start or depth 0 gives no rows.
+    Edges that are no stored table are stored first, as each level reads them.
     """
     spark = edges.sparkSession
+    edges = once(edges, "edges") if max_depth > 1 else edges
     to = edges.select("src", "dst", "rel", "provenance", "confidence")
     if external:
         outside = to.where(F.col("dst").startswith("external:")).withColumn("dst", F.substring(F.col("dst"), len("external:") + 1, 1 << 30))
@@ -178,17 +180,37 @@ def distinct_files(edges: DataFrame) -> DataFrame:
     return side("src").union(side("dst"))
 
 
+def targets(edges: DataFrame) -> DataFrame:
+    """``dst``: every target once, external ones too."""
+    return edges.select("dst").distinct()
+
+
 def stats(edges: DataFrame) -> DataFrame:
-    """One row: total_edges, total_files, unique_dependencies, most_connected, orphan_count, unique_relations, tested_pct."""
-    totals = edges.agg(F.count("*").alias("total_edges"), F.countDistinct("src").alias("total_files"), F.countDistinct("dst").alias("unique_dependencies"), F.countDistinct("rel").alias("unique_relations"))
-    top = top_dependencies(edges, 1).agg(F.max("dst").alias("most_connected"))
-    alone = orphans(edges).agg(F.count("*").alias("orphan_count"))
-    bare = untested(edges).agg(F.count("*").alias("untested_count"))
-    # four tables of one row each
-    one = totals.crossJoin(top).crossJoin(alone).crossJoin(bare)
+    """One row: total_edges, total_files, unique_dependencies, most_connected, orphan_count, unique_relations, tested_pct.
+
+    The edges are read once, into counts by node and relation.
+    """
+    out = edges.select(F.col("src").alias("node"), "rel", F.lit(1).alias("o"), F.lit(0).alias("i"))
+    into = edges.select(F.col("dst").alias("node"), "rel", F.lit(0).alias("o"), F.lit(1).alias("i"))
+    by = stage(out.unionAll(into).groupBy("node", "rel").agg(F.sum("o").alias("o"), F.sum("i").alias("i")), "degrees")
+    relations = by.agg(F.countDistinct("rel").alias("unique_relations"))
+    imports, tests = F.when(F.col("rel") == "imports", F.col("o")).otherwise(0), F.when(F.col("rel") == "tested_by", F.col("i")).otherwise(0)
+    node = by.groupBy("node").agg(F.sum("o").alias("o"), F.sum("i").alias("i"), F.sum(imports).alias("imports"), F.sum(tests).alias("tests"))
+    number = lambda condition: F.count(F.when(condition, 1))
+    o, i = F.col("o"), F.col("i")
+    top = F.min(F.when((i > 0) & well_formed(F.col("node")), F.struct((-i).alias("n"), "node")))
+    one = node.agg(
+        F.coalesce(F.sum("o"), F.lit(0)).alias("total_edges"),
+        number(o > 0).alias("total_files"),
+        number(i > 0).alias("unique_dependencies"),
+        top["node"].alias("most_connected"),
+        number((o > 0) & (i == 0)).alias("orphan_count"),
+        number((F.col("imports") > 0) & (F.col("tests") == 0) & ~is_test_path(F.col("node"))).alias("untested_count"),
+    )
     files = F.col("total_files")
     pct = F.when(files > 0, (files - F.col("untested_count")) / files * 100).otherwise(0.0)
-    return one.withColumn("tested_pct", F.round(pct, 9))
+    # two tables of one row each
+    return one.crossJoin(relations).withColumn("tested_pct", F.round(pct, 9))
 
 
 def inside(node: Column, module: str) -> Column:

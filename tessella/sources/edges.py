@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.plans.staging import stored
 from tessella.schema import EDGE, KEY, edges_of
 
 _LINE = T.StructType([T.StructField("from", T.StringType()), T.StructField("to", T.StringType()), T.StructField("rel", T.StringType()), T.StructField("provenance", T.StringType()), T.StructField("confidence", T.FloatType())])
@@ -41,6 +42,11 @@ def distinct_edges(edges: DataFrame, order: list[str] | None = None) -> DataFram
     return edges.groupBy(*KEY).agg(first).select(*EDGE.names)
 
 
+def dumped(edges: DataFrame) -> DataFrame:
+    """``edges`` in the order of a dump: source, target, relation, provenance."""
+    return edges.orderBy("src", "dst", "rel", "provenance")
+
+
 def new_edges(edges: DataFrame, known: DataFrame) -> DataFrame:
     """Edges whose key is not known; duplicates within ``edges`` all stay."""
     return edges.join(known.select(*KEY), KEY, "left_anti").select(*EDGE.names)
@@ -91,7 +97,11 @@ class EdgeStore:
     def rebuild(self, by: str = "dst") -> DataFrame:
         """Write the Parquet copy, sorted by ``by`` so that row groups can be skipped."""
         self.load().repartitionByRange(by).sortWithinPartitions(by).write.mode("overwrite").parquet(self.table)
-        return self.spark.read.schema(EDGE).parquet(self.table)
+        return self.read()
+
+    def read(self) -> DataFrame:
+        """The Parquet copy as it was last rebuilt; a filter or join on its order prunes row groups."""
+        return stored(self.spark.read.schema(EDGE).parquet(self.table))
 
     def counts(self) -> tuple[int, int]:
         """Raw lines and distinct edges."""
