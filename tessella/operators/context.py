@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from tessella.functions import text as X
 from tessella.operators.graph import nodes
 from tessella.operators.search import Index, documents_of
-from tessella.plans.staging import stage
+from tessella.plans.staging import once, stage
 from tessella.schema import weight
 
 
+#: Symbols named for a file at most.
+SYMBOLS = 8
+
+
 @dataclass(frozen=True)
 class Options:
     token_budget: int = 6000
@@ -51,6 +55,7 @@ def walk(edges: DataFrame, start: DataFrame, options: Options = Options()) -> Da
     anchors have 1.  Of several the greatest score counts, then the provenance
     by name.
     """
+    edges = once(edges, "edges") if options.depth > 1 else edges
     both = edges.select("src", "dst", "provenance").union(edges.select("dst", "src", "provenance")).where("src <> dst")
     seen = stage(start.select(F.col("path").alias("anchor"), F.col("path").alias("node"), F.lit(1.0).alias("score"), F.lit("ast_exact").alias("provenance"), F.lit(0).alias("depth")), "anchors")
     frontier = seen
@@ -92,22 +97,36 @@ def within_budget(blocks: DataFrame, budget: int) -> DataFrame:
     return blocks.withColumn("used", F.sum("size").over(w)).where(F.col("used") <= budget)
 
 
+def chosen_files(edges: DataFrame, seeds: DataFrame, sources: DataFrame | None = None, symbols: DataFrame | None = None, options: Options = Options()) -> DataFrame:
+    """``path, score, provenance, position, tier, detail, found`` of the files near the anchors ``seeds``.
+
+    At most ``max_nodes`` rows, which are broadcast: sources and symbols are
+    filtered by them where they lie, before anything is minified or gathered.
+    """
+    files = stage(tiers(walk(edges, seeds, options), options), "files")
+    wanted = F.broadcast(files.select("path"))
+    if sources is not None:
+        detail = sources.join(wanted, "path", "left_semi").select("path", X.minified(F.col("text")).alias("detail"))
+        files = files.join(detail, "path", "left")
+    else:
+        files = files.withColumn("detail", F.lit(None).cast("string"))
+    if symbols is not None:
+        firsts = F.slice(F.sort_array(F.collect_list(F.struct("line", "name", "signature"))), 1, SYMBOLS)
+        place = Window.partitionBy("path").orderBy("line", "name", "signature")
+        near = symbols.join(wanted, "path", "left_semi").withColumn("__k", F.row_number().over(place)).where(F.col("__k") <= SYMBOLS)
+        return files.join(near.groupBy("path").agg(firsts.alias("found")), "path", "left")
+    return files.withColumn("found", F.lit(None).cast("array<struct<line:int,name:string,signature:string>>"))
+
+
 def understand(edges: DataFrame, task: str, sources: DataFrame | None = None, symbols: DataFrame | None = None, options: Options = Options()) -> dict:
     """Text, files and token estimate for a task.
 
     ``sources`` has ``path, text``, ``symbols`` has ``path, name, line,
     signature``.  At most ``max_nodes`` files reach the driver.
     """
+    edges = once(edges, "edges")
     seeds = stage(anchors(edges, task, options), "seeds")
-    files = tiers(walk(edges, seeds, options), options)
-    detail = sources.select("path", X.minified(F.col("text")).alias("detail")) if sources is not None else None
-    files = files.join(detail, "path", "left") if detail is not None else files.withColumn("detail", F.lit(None).cast("string"))
-    if symbols is not None:
-        firsts = F.slice(F.sort_array(F.collect_list(F.struct("line", "name", "signature"))), 1, 8)
-        files = files.join(symbols.groupBy("path").agg(firsts.alias("found")), "path", "left")
-    else:
-        files = files.withColumn("found", F.lit(None).cast("array<struct<line:int,name:string,signature:string>>"))
-    rows = files.orderBy("position").collect()
+    rows = chosen_files(edges, seeds, sources, symbols, options).orderBy("position").collect()
     seeds_found = [r["path"] for r in seeds.orderBy(F.desc("matches"), "path").collect()]
     text = render(rows, seeds_found, options)
     return {"text": text, "files": rows, "tokens_estimate": len(text.encode()) // 4, "anchors": seeds_found}
@@ -118,7 +137,10 @@ def _header(r) -> str:
 
 
 def render(rows: list, seeds: list[str], options: Options) -> str:
-    """The sections MAP, SIGNATURES and DETAIL of a bounded list of files."""
+    """The sections MAP, SIGNATURES and DETAIL of a bounded list of files.
+
+    Fixed values: headings, messages and line formats of the output.
+    """
     if not rows:
         return f"## MAP\nNo files matched task: {seeds}\n\n(No anchors found — try a different task description.)\n"
     if options.flat:
