@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 from tessella.functions.text import any_of, attribute_key, digest, file_name, rendered
 from tessella.operators.imports import import_edges
+from tessella.plans.staging import stage
+from tessella.schema import EDGE
 from tessella.sources.edges import EdgeStore, new_edges
 
 
@@ -28,9 +30,12 @@ class Trigger:
     debounce_ms: int = 500
 
 
-#: The patterns watched by default.
-DEFAULT_PATTERNS = ["*.go", "*.py", "*.ts", "*.rs", "*.js", "*.java", "*.c", "*.cpp", "*.rb"]
-DEFAULT_TRIGGERS = [Trigger(f"graph-{p[2:]}", p) for p in DEFAULT_PATTERNS]
+#: The patterns watched by default, and the beginning of their triggers' names.
+DEFAULT_PATTERNS = ["*.go", "*.rs", "*.py", "*.ts", "*.js", "*.java", "*.c", "*.cpp", "*.rb"]
+DEFAULT_NAME = "update-graph-"
+DEFAULT_TRIGGERS = [Trigger(DEFAULT_NAME + p[2:], p) for p in DEFAULT_PATTERNS]
+#: Actions that run at once; what comes while all are busy is dropped.
+CONCURRENT = 4
 
 
 def matches(path: Column, pattern: str) -> Column:
@@ -134,6 +139,21 @@ def debounced_stream(events: DataFrame, keys: list[str], window_us: int, ts: str
     return grouped.applyInPandasWithState(fold, out, "last long", "append", "EventTimeTimeout")
 
 
+def admitted(fired: DataFrame, duration_us: int, limit: int = CONCURRENT, keys: list[str] | None = None, ts: str = "ts") -> DataFrame:
+    """``keys, ts, admitted``: which actions run if each takes ``duration_us`` and ``limit`` may run at once.
+
+    An action that comes while all places are busy is dropped, not queued.
+    ``keys`` are independent runners; without any all share one.
+    """
+
+    def step(busy, t):
+        busy = tuple(end for end in busy or () if end > t)
+        return (busy + (t + duration_us,), True) if len(busy) < limit else (busy, False)
+
+    rows = fired if keys else fired.withColumn("runner", F.lit(0))
+    return _folded(rows, keys or ["runner"], ts, step).withColumnRenamed("kept", "admitted")
+
+
 def trailing_debounced(events: DataFrame, keys: list[str], gap: str, ts: str = "ts") -> DataFrame:
     """``keys, ts``: one row per burst, at its last event (a native session window; batch or stream)."""
     sessions = events.groupBy(*keys, F.session_window(ts, gap).alias("w"))
@@ -177,14 +197,60 @@ def after_action(fired: DataFrame, setting: str) -> DataFrame:
     return fired.select("path", attribute_key(F.lit(key.strip())).alias("key"), rendered(value.strip(), F.col("path"), when).alias("value"))
 
 
+class ParseState:
+    """Edges parsed so far, as Parquet in buckets of their path beside the record.
+
+    A changed file is compared with its own edges only, so a batch reads the
+    buckets of its paths and not the whole record.
+    """
+
+    def __init__(self, store: EdgeStore):
+        self.spark, self.path = store.spark, f"{store.folder}/parsed.parquet"
+
+    def exists(self) -> bool:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+    def known(self, paths: DataFrame) -> DataFrame:
+        """Edges parsed for the given paths (``path``); only their buckets are read."""
+        buckets = [r[0] for r in paths.select(_bucket(F.col("path"))).distinct().collect()]
+        found = self.spark.read.schema(T.StructType([*EDGE.fields, T.StructField("bucket", T.IntegerType())])).parquet(self.path)
+        near = found.where(F.col("bucket").isin(buckets)).select(*EDGE.names)
+        return near.join(paths.select(F.col("path").alias("src")), "src", "left_semi").select(*EDGE.names)
+
+    def add(self, edges: DataFrame) -> None:
+        edges.withColumn("bucket", _bucket(F.col("src"))).write.mode("append").partitionBy("bucket").parquet(self.path)
+
+
+#: Buckets of parsed paths.
+BUCKETS = 256
+
+
+def _bucket(path: Column) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(BUCKETS)).cast("int")
+
+
 def parse_and_diff(files: DataFrame, store: EdgeStore) -> int:
-    """Append the edges of changed files that the store lacks; how many.  Edges are never retracted."""
-    fresh = new_edges(import_edges(files), store.raw())
-    return store.append_new(fresh)
+    """Append the edges of changed files (``path, text``) that were not parsed from them before; how many.
+
+    Edges are never retracted; a batch without changed edges writes nothing.
+    """
+    state = ParseState(store)
+    if not state.exists():  # once for a store
+        state.add(store.load())
+    fresh = stage(new_edges(import_edges(files), state.known(files.select("path").distinct())), "fresh")
+    n = fresh.count()
+    if n:
+        store.append(fresh)
+        state.add(fresh)
+    return n
 
 
 def build_stream(files: DataFrame, store: EdgeStore, checkpoint: str, **options):
-    """Start an incremental build from a stream of ``path, text``; returns the streaming query."""
+    """Start an incremental build from a stream of ``path, text``; returns the streaming query.
+
+    How much a batch takes is set where the stream is read (``maxFilesPerTrigger``).
+    """
     return files.writeStream.foreachBatch(lambda batch, _: parse_and_diff(batch, store)).option("checkpointLocation", checkpoint).trigger(availableNow=options.get("available_now", True)).start()
 
 

@@ -127,7 +127,7 @@ def test_rate_limit(spark):
 def test_triggers(spark):
     events = spark.createDataFrame([("x/a.go", "write"), ("b.md", "write"), ("c.py", "delete")], "path string, event_type string")
     got = {(r["path"], r["trigger"]) for r in V.triggered(events, [*V.DEFAULT_TRIGGERS, V.Trigger("any", "*", ("delete",))]).collect()}
-    assert got == {("x/a.go", "graph-go"), ("c.py", "any")}
+    assert got == {("x/a.go", "update-graph-go"), ("c.py", "any")}
     fired_ = spark.createDataFrame([("fmt", "a/b.go", T0)], "trigger string, path string, ts timestamp")
     assert V.commands(fired_, [V.Trigger("fmt", "*", command="gofmt {{ .FilePath }} {{ .Timestamp }}")]).first()["command"] == "gofmt a/b.go 2024-01-01T00:00:00Z"
 
@@ -161,3 +161,20 @@ def test_findings(spark):
     got = rules.findings(spark.sql("SELECT 'a' AS p, 1 AS s"), spark).first()
     assert tuple(got) == ("a", "1", "")
     assert rules.findings(rules.Failure("x", "e"), spark).isEmpty()
+
+
+def test_parse_state_reads_only_what_changed(spark, tmp_path):
+    store = EdgeStore(spark, f"{tmp_path}/graph").init()
+    files = lambda *rows: spark.createDataFrame(list(rows), "path string, text string")
+    assert V.parse_and_diff(files(("a.py", "import os\n"), ("b.py", "import sys\n")), store) == 2
+    assert V.parse_and_diff(files(("a.py", "import os\n")), store) == 0
+    assert V.parse_and_diff(files(("a.py", "import os\nimport re\n")), store) == 1
+    assert V.parse_and_diff(files(("a.py", "")), store) == 0  # edges are never retracted
+    assert store.counts() == (3, 3)
+
+
+def test_actions_beyond_the_limit_are_dropped(spark):
+    rows = [(i,) for i in (0, 1, 2, 3, 4, 10, 11, 12, 13)]
+    calls = spark.createDataFrame(rows, "t long").select(F.timestamp_seconds("t").alias("ts"))
+    got = sorted((int(r["ts"].timestamp()), r["admitted"]) for r in V.admitted(calls, 10_000_000, 4).collect())
+    assert [t for t, yes in got if not yes] == [4]
