@@ -72,11 +72,28 @@ def iso_time(epoch: Column) -> Column:
     return F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def duration_ms(text: Column, default: int = 0) -> Column:
-    """``500ms``, ``2s``, ``3m`` or plain seconds as milliseconds."""
-    number = F.regexp_extract(F.trim(text), r"^(\d+)\s*(?:ms|s|m)?$", 1)
-    unit = F.when(F.trim(text).endswith("ms"), 1).when(F.trim(text).endswith("m"), 60_000).otherwise(1000)
-    return F.when(number != "", number.cast("long") * unit).otherwise(F.lit(default).cast("long"))
+def _number(text: Column, unit: str, fallback: int) -> Column:
+    """The whole number before a unit, or the fallback."""
+    digits = F.regexp_extract(text, rf"^\+?([0-9]{{1,18}}){unit}$", 1)
+    return F.when(digits != "", digits.cast("long")).otherwise(F.lit(fallback).cast("long"))
+
+
+def duration_ms(text: Column) -> Column:
+    """``500ms``, ``2s`` or plain milliseconds as milliseconds; 0 for anything else."""
+    return F.when(text.endswith("ms"), _number(text, "ms", 0)).when(text.endswith("s"), _number(text, "s", 0) * 1000).otherwise(_number(text, "", 0))
+
+
+def debounce_ms(text: Column) -> Column:
+    """As :func:`duration_ms`, 1 at least; 500 (or 1 s) for anything else."""
+    found = F.when(text.endswith("ms"), _number(text, "ms", 500)).when(text.endswith("s"), _number(text, "s", 1) * 1000).otherwise(_number(text, "", 500))
+    return F.greatest(found, F.lit(1))
+
+
+def timeout_seconds(text: Column) -> Column:
+    """``500ms``, ``2s``, ``3m`` or plain seconds as whole seconds, 1 at least; 30 (or a minute, or 1) for anything else."""
+    millis = F.floor(_number(text, "ms", 0) / 1000)
+    found = F.when(text.endswith("ms"), millis).when(text.endswith("s"), _number(text, "s", 30)).when(text.endswith("m"), _number(text, "m", 1) * 60).otherwise(_number(text, "", 30))
+    return F.greatest(found, F.lit(1)).cast("long")
 
 
 def digest(content: Column) -> Column:

@@ -40,7 +40,9 @@ def test_paths(spark):
 
 def test_small_functions(spark):
     assert column(spark, ["user.vfs.role", "role"], X.attribute_key) == ["user.vfs.role"] * 2
-    assert column(spark, ["500ms", "2s", "3m", "x"], X.duration_ms) == [500, 2000, 180_000, 0]
+    assert column(spark, ["500ms", "2s", "3m", "70", "x", "xms"], X.duration_ms) == [500, 2000, 0, 70, 0, 0]
+    assert column(spark, ["500ms", "2s", "3m", "0", "xms", "xs"], X.debounce_ms) == [500, 2000, 500, 1, 500, 1000]
+    assert column(spark, ["2500ms", "2s", "3m", "0", "x", "xm", "10ms"], X.timeout_seconds) == [2, 2, 180, 1, 30, 60, 1]
     assert column(spark, ["  a\n\n    b  \n"], X.minified) == ["a\n  b"]
     assert column(spark, ["src/a.go"], lambda p: X.rendered("fmt {{ .FilePath }} in {{ .ModulePath }}", p, p)) == ["fmt src/a.go in src"]
     assert column(spark, ["0"], lambda p: X.iso_time(p.cast("long"))) == ["1970-01-01T00:00:00Z"]
