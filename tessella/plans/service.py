@@ -1,7 +1,8 @@
 """The tool surface: named tools over one graph, as Python calls or JSON-RPC lines.
 
 Results are small by nature (a node's neighbours, a page of search results);
-lists that a graph could make long are cut at ``ROWS`` and say so.
+lists that a graph could make long come in pages of ``ROWS`` with their total;
+``offset`` asks for the next.
 """
 
 from __future__ import annotations
@@ -63,9 +64,12 @@ class Service:
                 raise ToolError(f"missing argument: {a}")
         return run(**arguments)
 
-    def _rows(self, df: DataFrame) -> dict:
-        found = [r.asDict(recursive=True) for r in df.limit(ROWS + 1).collect()]
-        return {"rows": found[:ROWS], "total": len(found[:ROWS]), "truncated": len(found) > ROWS}
+    def _rows(self, df: DataFrame, offset: int = 0) -> dict:
+        """A page of ROWS rows of an ordered result, and how many rows there are in all."""
+        found = [r.asDict(recursive=True) for r in df.offset(int(offset)).limit(ROWS + 1).collect()]
+        more = len(found) > ROWS
+        total = df.count() if more or offset else len(found)
+        return {"rows": found[:ROWS], "total": total, "truncated": more} | ({"next_offset": int(offset) + ROWS} if more else {})
 
     def get_metadata(self, path: str, keys: list[str] | None = None):
         return {"path": path, "attributes": {r["key"]: r["value"] for r in S.get_attributes(self.metadata, path, keys).collect()}}
@@ -79,23 +83,25 @@ class Service:
         self.metadata = S.set_attributes(self.metadata, update)
         return {"path": path, "key": key, "previous": next(iter(before.values()), None)}
 
-    def related(self, path: str, relation: str | None = None, direction: str = "forward"):
+    def related(self, path: str, relation: str | None = None, direction: str = "forward", offset: int = 0):
         found = graph.related_any(self.edges, path, relation, direction).orderBy("src", "dst", "rel", "provenance")
         package = (F.col("src").startswith("pkg:") | F.col("dst").startswith("pkg:")).alias("external_package")
-        return self._rows(found.select("*", package))
+        return self._rows(found.select("*", package), offset)
 
     def stats(self):
         return {**graph.stats(self.edges).first().asDict(), "types": {r["rel"]: r["cnt"] for r in graph.edge_types(self.edges).collect()}, "top": self._rows(graph.top_dependencies(self.edges))["rows"]}
 
-    def untested(self):
-        return self._rows(graph.untested(self.edges).orderBy("path"))
+    def untested(self, offset: int = 0):
+        return self._rows(graph.untested(self.edges).orderBy("path"), offset)
 
-    def module(self, module_name: str):
-        return graph.module_stats(self.edges, module_name).first().asDict() | {"files": [r["path"] for r in graph.module_files(self.edges, module_name).orderBy("path").limit(ROWS).collect()]}
+    def module(self, module_name: str, offset: int = 0):
+        page = self._rows(graph.module_files(self.edges, module_name).orderBy("path"), offset)
+        files = [r["path"] for r in page.pop("rows")]
+        return graph.module_stats(self.edges, module_name).first().asDict() | {"files": files} | page
 
-    def impact(self, path: str, max_depth: int = graph.DEPTHS["tools"], include_external: bool = False):
+    def impact(self, path: str, max_depth: int = graph.DEPTHS["tools"], include_external: bool = False, offset: int = 0):
         found = graph.impact_or_fail(self.edges, path, int(max_depth), self.sources, external=include_external)
-        return self._rows(found.orderBy("depth", "path"))
+        return self._rows(found.orderBy("depth", "path"), offset)
 
     def understand(self, task: str, token_budget: int = 6000):
         out = context.understand(self.edges, task, self.sources, self.symbols, context.Options(token_budget=int(token_budget)))
