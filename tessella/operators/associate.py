@@ -41,6 +41,9 @@ SUFFIXES = [
     ("Test.elm", ".elm"),
     ("Tests.elm", ".elm"),
     ("_test.nim", ".nim"),
+]
+#: Endings that count only if no beginning does.
+LATER_SUFFIXES = [
     (".test.ts", ".ts"),
     (".spec.ts", ".ts"),
     ("Test.java", ".java"),
@@ -86,7 +89,7 @@ def source_name(name):
     """The name of the source that a test file's name points to, null if none."""
     out = F.when(F.lit(False), F.lit(None).cast("string"))
     cut = lambda n: F.substring(name, 1, F.length(name) - n)
-    for test, source in SUFFIXES[:31]:
+    for test, source in SUFFIXES:
         out = out.when(name.endswith(test), F.concat(cut(len(test)), F.lit(source)))
     for start, ends in BEGINNINGS:
         rest = F.substring(name, len(start) + 1, 1 << 30)
@@ -94,7 +97,7 @@ def source_name(name):
         for e in ends:
             fits |= rest.endswith(e)
         out = out.when(name.startswith(start), F.when(fits, rest))
-    for test, source in SUFFIXES[31:]:
+    for test, source in LATER_SUFFIXES:
         out = out.when(name.endswith(test), F.concat(cut(len(test)), F.lit(source)))
     return out
 

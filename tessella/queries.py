@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
+from tessella.functions.languages import language
 from tessella.operators import associate, classify, context, graph, imports, permissions
 from tessella.operators.search import Index, fuse
 from tessella.plans import rules
+from tessella.plans.staging import once, shared_dir, stage
 from tessella.schema import node_kind
 from tessella.sources import edges as E
 from tessella.sources import files as S
@@ -154,7 +156,23 @@ def orphans(spark, d):
     return graph.orphans(R.edges(spark, d))
 
 
-_UNTESTED = f"SELECT DISTINCT src AS path FROM edges WHERE rel = 'imports' AND src NOT IN (SELECT dst FROM edges WHERE rel = 'tested_by') AND NOT regexp_matches(lower(src), '{classify.TEST_PATH}')"
+def _is_test(p: str) -> str:
+    """The rules of test paths, one condition each (fixed values), on a lower-case path."""
+    folders = [f"contains(concat('/', replace({p}, chr(92), '/'), '/'), '/{x}/')" for x in ("test", "tests", "benches", "__tests__")]
+    anywhere = [f"contains({p}, '{x}')" for x in ("_test.", ".test.", "_spec.", "__test__")]
+    endings = [f"ends_with({p}, '{x}.{e}')" for x in ("test", "tests") for e in ("java", "cs", "kt", "php", "swift", "hs", "scala", "elm")]
+    endings += [f"ends_with({p}, '{x}')" for x in ("spec.hs", "spec.scala", "_suite.erl", "runtests.jl")]
+    return "(" + " OR ".join([f"starts_with({p}, 'test_')", f"starts_with({p}, 'test-') AND ends_with({p}, '.r')", *anywhere, *folders, *endings]) + ")"
+
+
+def _is_entry(p: str) -> str:
+    """The names of entry points (fixed values), as endings of a lower-case path."""
+    names = [f"main.{e}" for e in "rs go py c cpp js ts rb kt swift hs lhs erl scala zig lua dart clj ml r jl elm nim".split()]
+    names += "index.js index.ts index.php __main__.py program.cs mix.exs application.ex escript.erl app.scala init.lua core.clj".split()
+    return "(" + " OR ".join(f"ends_with({p}, '{n}')" for n in names) + ")"
+
+
+_UNTESTED = f"SELECT DISTINCT src AS path FROM edges WHERE rel = 'imports' AND src NOT IN (SELECT dst FROM edges WHERE rel = 'tested_by') AND NOT {_is_test('lower(src)')}"
 
 
 @query(_W + _UNTESTED)
@@ -253,9 +271,9 @@ _NAME, _DIR = "regexp_extract(path, '([^/]*)$', 1)", "regexp_extract(path, '^(.*
 
 
 def _association_sql() -> str:
-    back = [f"WHEN ends_with(n, '{t}') THEN concat(left(n, -{len(t)}), '{s}')" for t, s in associate.SUFFIXES[:31]]
+    back = [f"WHEN ends_with(n, '{t}') THEN concat(left(n, -{len(t)}), '{s}')" for t, s in associate.SUFFIXES]
     back += [f"WHEN starts_with(n, '{b}') THEN CASE WHEN {' OR '.join(f'ends_with(n, {e!r})' for e in ends)} THEN substr(n, {len(b) + 1}) END" for b, ends in associate.BEGINNINGS]
-    back += [f"WHEN ends_with(n, '{t}') THEN concat(left(n, -{len(t)}), '{s}')" for t, s in associate.SUFFIXES[31:]]
+    back += [f"WHEN ends_with(n, '{t}') THEN concat(left(n, -{len(t)}), '{s}')" for t, s in associate.LATER_SUFFIXES]
     ahead = [f"WHEN ends_with(n, '{e}') THEN [{', '.join('concat({!r}, left(n, -{}), {!r})'.format(t.split('*')[0], len(e), t.split('*')[1]) for t in tests)}]" for e, tests in associate.TESTS_OF.items()]
     return f"""WITH {_P}, q AS (SELECT path, {_DIR} AS f, {_NAME} AS n FROM p),
 b AS (SELECT path AS src, concat(f, CASE {' '.join(back)} END) AS dst, 'tested_by' AS rel, CASE {' '.join(back)} END AS s FROM q),
@@ -408,7 +426,7 @@ walked AS (SELECT node AS path, max(score) AS score FROM every GROUP BY node ORD
 
 
 def _walked(spark, d):
-    edges = R.edges(spark, d)
+    edges = once(R.edges(spark, d), "edges")
     return context.walk(edges, context.anchors(edges, TASK))
 
 
@@ -434,10 +452,35 @@ def budget_prefix(spark, d):
     return context.within_budget(blocks, 100_000)
 
 
-@query()
+ABOUT = "documents and their labels"
+_ABOUT = "CAST(contains(lower(n), 'documents') AS INT) + CAST(contains(lower(n), 'and') AS INT) + CAST(contains(lower(n), 'their') AS INT) + CAST(contains(lower(n), 'labels') AS INT)"
+_ABOUT_ANCHORS = f"anchors AS (SELECT n AS path, {_ABOUT} AS matches FROM (SELECT src AS n FROM edges UNION SELECT dst FROM edges) WHERE {_ABOUT} > 0 ORDER BY matches DESC, n LIMIT 8)"
+
+
+def _sources(spark, d):
+    return R.table(spark, d, "documents").select(F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("path"), "text")
+
+
+def _symbols(spark, d):
+    """Words of ten letters or more as symbols of a document, at their place."""
+    words = F.posexplode(F.split("text", " ")).alias("line", "name")
+    return _sources(spark, d).select("path", words).where("name rlike '^[a-z]{10,}$'").withColumn("signature", F.concat(F.lit("word "), F.col("name")))
+
+
+@query(
+    _WALK.replace(_ANCHORS, _ABOUT_ANCHORS) + """, k AS (SELECT path, score, row_number() OVER (ORDER BY score DESC, path) - 1 AS position FROM walked),
+m AS (""" + _MINIFY.removeprefix("WITH ").replace("l AS (", "SELECT concat('documents/', doc_id) AS path, digest FROM (WITH l AS (", 1) + """)),
+w AS (SELECT concat('documents/', doc_id) AS path, unnest(string_split(text, ' ')) AS name, generate_subscripts(string_split(text, ' '), 1) - 1 AS line FROM documents),
+y AS (SELECT path, string_agg(name, ' ' ORDER BY line) AS symbols FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line) AS r FROM w WHERE regexp_full_match(name, '[a-z]{10,}')) WHERE r <= 8 GROUP BY path)
+SELECT k.path, CAST(position AS INTEGER) AS position, CASE WHEN position < 8 THEN 'detail' WHEN position < 16 THEN 'signature' ELSE 'map' END AS tier, round(score, 9) AS score, m.digest AS detail, coalesce(y.symbols, '') AS symbols
+FROM k LEFT JOIN m ON m.path = k.path LEFT JOIN y ON y.path = k.path"""
+)
 def understand(spark, d):
-    out = context.understand(R.edges(spark, d), TASK)
-    return spark.createDataFrame([(out["text"], out["tokens_estimate"], len(out["files"]), ",".join(out["anchors"]))], "text string, tokens_estimate long, n_files long, anchors string")
+    edges = once(R.edges(spark, d), "edges")
+    seeds = stage(context.anchors(edges, ABOUT), "seeds")
+    files = context.chosen_files(edges, seeds, _sources(spark, d), _symbols(spark, d))
+    names = F.coalesce(F.array_join(F.transform("found", lambda s: s["name"]), " "), F.lit(""))
+    return files.select("path", "position", "tier", F.round("score", 9).alias("score"), F.md5("detail").alias("detail"), names.alias("symbols"))
 
 
 # --- classification and permissions ----------------------------------------
@@ -456,7 +499,7 @@ TEXTS = {
 
 @query(
     f"""WITH {_P}, q AS (SELECT path, lower(path) AS p FROM p) SELECT path,
-  CASE WHEN contains(path, '.pb.go') OR contains(path, '.gen.go') OR contains(path, '.generated.') THEN 'generated' WHEN regexp_matches(p, '{classify.TEST_PATH}') THEN 'test' WHEN regexp_matches(p, '{classify.ENTRY_PATH}') THEN 'entrypoint'
+  CASE WHEN contains(path, '.pb.go') OR contains(path, '.gen.go') OR contains(path, '.generated.') THEN 'generated' WHEN {_is_test('p')} THEN 'test' WHEN {_is_entry('p')} THEN 'entrypoint'
   WHEN contains(p, '/example') OR regexp_matches(p, '^examples?/') THEN 'example' WHEN regexp_matches(p, '\\.(toml|yaml|yml|json|lock|cfg|ini|env)$') THEN 'config' WHEN contains(p, '/scripts/') THEN 'script' ELSE 'unknown' END AS role FROM q"""
 )
 def classify_paths(spark, d):
@@ -470,7 +513,7 @@ def classify_contents(spark, d):
     return classify.classified(spark.createDataFrame(list(TEXTS.items()), "path string, text string")).select("path", "role", "status")
 
 
-@query(f"SELECT page_id, url, regexp_matches(lower(url), '{classify.TEST_PATH}') AS is_test, regexp_matches(lower(url), '{classify.ENTRY_PATH}') AS is_entry FROM pages")
+@query(f"SELECT page_id, url, {_is_test('lower(url)')} AS is_test, {_is_entry('lower(url)')} AS is_entry FROM pages")
 def classify_urls(spark, d):
     return R.table(spark, d, "pages").select("page_id", "url", classify.is_test_path(F.col("url")).alias("is_test"), classify.is_entry_path(F.col("url")).alias("is_entry"))
 
@@ -488,14 +531,21 @@ def features(spark, d):
     return _paths(spark).select("path", classify.feature(F.col("path"), {"README.md": "docs", "vendor/": ""}).alias("feature"))
 
 
-def _glob_sql(rule: permissions.Rule) -> str:
-    from tessella.functions.globs import glob_regex
-
-    return " OR ".join(f"regexp_matches(q, '{glob_regex(p).removeprefix('(?s)')}')" for p in rule.paths)
+#: The default protections, as SQL conditions on a path ``q`` and modes.
+_DEFAULT_MODES = " ".join(
+    f"WHEN {condition} THEN {mode}"
+    for condition, mode in [
+        ("starts_with(q, '.vfs/') OR starts_with(q, '.git/') OR q = '.gitignore'", 0o444),
+        ("ends_with(q, '.sum') OR ends_with(q, '.lock') OR ends_with(q, '.pb.go') OR ends_with(q, '.gen.go')", 0o444),
+        ("contains(concat('/', q), '/vendor/') OR contains(concat('/', q), '/node_modules/')", 0o444),
+        ("starts_with(q, '.github/workflows/')", 0o444),
+        ("starts_with(q, 'src/') OR starts_with(q, 'lib/') OR starts_with(q, 'cmd/')", 0o644),
+    ]
+)
 
 
 @query(
-    f"""WITH {_P}, z AS (SELECT path, regexp_replace(path, '^(\\./)+', '') AS q FROM p), m AS (SELECT path, CASE WHEN starts_with(q, 'web/') THEN 292 {' '.join(f'WHEN {_glob_sql(r)} THEN {r.mode}' for r in permissions.DEFAULT_RULES)} ELSE 420 END AS mode FROM z)
+    f"""WITH {_P}, z AS (SELECT path, regexp_replace(path, '^(\\./)+', '') AS q FROM p), m AS (SELECT path, CASE WHEN starts_with(q, 'web/') THEN 292 {_DEFAULT_MODES} ELSE 420 END AS mode FROM z)
 SELECT path, CAST(mode AS INTEGER) AS mode, mode & 292 <> 0 AS readable, mode & 128 <> 0 AS writable, mode & 73 <> 0 AS executable FROM m"""
 )
 def permissions_check(spark, d):
@@ -505,11 +555,20 @@ def permissions_check(spark, d):
 # --- metadata, rules --------------------------------------------------------
 
 
-@query("SELECT user_id, arg_max(CAST(json_extract_string(props, '$.k') AS BIGINT), (ts, event_id)) AS k FROM events GROUP BY user_id")
+@query(
+    """SELECT concat('users/', user_id) AS path, count(*) AS size, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS modified, 'local' AS backend,
+  arg_max(json_extract_string(props, '$.k'), event_id) AS k, arg_max(CASE WHEN event_type = 'error' THEN 'stale' ELSE 'ok' END, event_id) AS status FROM events GROUP BY user_id"""
+)
 def metadata_kv(spark, d):
-    e = R.table(spark, d, "events").select("user_id", "event_id", "ts", F.get_json_object("props", "$.k").alias("value"))
-    order = F.struct("ts", "event_id")
-    return e.groupBy("user_id").agg(F.max_by("value", order).cast("long").alias("k"))
+    e = _user_events(spark, d)
+    files = e.groupBy("path").agg(F.count("*").alias("size"), F.max("ts").cast("timestamp").alias("modified"))
+    updates = e.select("path", F.lit("user.vfs.k").alias("key"), F.get_json_object("props", "$.k").alias("value"), F.col("event_id").alias("seq"))
+    found = S.metadata(files, S.set_attributes(_attributes(spark, d), updates))
+    return found.select("path", "size", "modified", "backend", F.col("attributes")["k"].alias("k"), F.col("attributes")["status"].alias("status"))
+
+
+def _user_events(spark, d):
+    return R.table(spark, d, "events").withColumn("path", F.concat(F.lit("users/"), F.col("user_id").cast("string")))
 
 
 def _attributes(spark, d):
@@ -619,6 +678,208 @@ def events_by_rule(spark, d):
     return V.triggered(e, TRIGGERS).select("event_id", "ord", "trigger")
 
 
+# --- stores, files, mounts ---------------------------------------------------
+
+_FAMILY = lambda n: f"SELECT src, dst, rel, provenance, CAST(confidence AS DOUBLE) AS confidence FROM edges WHERE {n}"
+
+
+def _store(spark, d) -> E.EdgeStore:
+    """A new store to which three batches were appended, the last with known edges."""
+    import uuid
+
+    made = E.EdgeStore(spark, f"{shared_dir(spark)}/tessella/store-{uuid.uuid4().hex}").init()
+    made.append(R.edges(spark, d, "customer_nation"))
+    made.append(R.edges(spark, d, "nation_region"))
+    made.append_new(R.edges(spark, d, "customer_nation", "supplier_nation"))
+    made.append(R.edges(spark, d, "nation_region"))
+    return made
+
+
+@query(_W + _FAMILY("src LIKE 'customer/%' OR src LIKE 'supplier/%' AND dst LIKE 'nation/%' OR src LIKE 'nation/%'"))
+def store_load(spark, d):
+    return _double(_store(spark, d).load())
+
+
+@query(_W + _FAMILY("src LIKE 'customer/%' OR src LIKE 'supplier/%' AND dst LIKE 'nation/%' OR src LIKE 'nation/%'"))
+def store_rebuild(spark, d):
+    return _double(_store(spark, d).rebuild())
+
+
+@query("SELECT count(*) + (SELECT count(*) FROM supplier) + 2 * (SELECT count(*) FROM nation) AS raw_edges, count(*) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM nation) AS distinct_edges FROM customer")
+def store_counts(spark, d):
+    return spark.createDataFrame([_store(spark, d).counts()], "raw_edges long, distinct_edges long")
+
+
+@query(_W + "SELECT src, dst, rel, provenance, CAST(confidence AS DOUBLE) AS confidence FROM edges WHERE src LIKE 'nation/%' ORDER BY src, dst, rel, provenance")
+def edge_dump(spark, d):
+    return _double(E.dumped(R.edges(spark, d).where("src like 'nation/%'")))
+
+
+@query(_W + "SELECT DISTINCT dst FROM edges")
+def local_targets(spark, d):
+    return graph.targets(R.edges(spark, d))
+
+
+@query("SELECT concat('users/', user_id) AS path, event_id, CAST(ts AS TIMESTAMP) AS modified FROM events WHERE ts > TIMESTAMP '2024-01-15 12:00:00'")
+def files_changed(spark, d):
+    files = _user_events(spark, d).select("path", "event_id", F.col("ts").cast("timestamp_ntz").alias("modified"))
+    return S.changed(files, F.lit("2024-01-15 12:00:00").cast("timestamp_ntz"))
+
+
+def _tree(spark, d):
+    """Orders as files with one of six extensions."""
+    ends = F.element_at(F.array(*[F.lit(e) for e in ("go", "py", "ts", "tsx", "h", "md")]), (F.col("o_orderkey") % 6).cast("int") + 1)
+    path = F.concat(F.lit("src/o"), F.col("o_orderkey").cast("string"), F.lit("."), ends)
+    files = R.table(spark, d, "orders").select(path.alias("path")).withColumn("extension", X.extension(F.col("path")))
+    return files.withColumn("language", language(F.col("extension")))
+
+
+_TREE = "tree AS (SELECT concat('src/o', o_orderkey, '.', ['go', 'py', 'ts', 'tsx', 'h', 'md'][o_orderkey % 6 + 1]) AS path, o_orderkey % 6 AS k FROM orders)"
+
+
+@query(f"WITH {_TREE} SELECT language, count(*) AS cnt FROM (SELECT CASE k WHEN 0 THEN 'go' WHEN 1 THEN 'python' WHEN 2 THEN 'typescript' WHEN 3 THEN 'typescript' END AS language FROM tree) WHERE language IS NOT NULL GROUP BY language")
+def languages_seen(spark, d):
+    return S.languages_seen(_tree(spark, d))
+
+
+@query(f"WITH {_TREE} SELECT path FROM tree WHERE k = 2")
+def files_of_language(spark, d):
+    return S.of_language(_tree(spark, d), "typescript").select("path")
+
+
+@query(f"WITH {_TREE} SELECT DISTINCT path, CASE k WHEN 0 THEN 'update-graph-go' WHEN 1 THEN 'update-graph-py' ELSE 'update-graph-ts' END AS \"trigger\" FROM tree WHERE k < 3")
+def default_triggers(spark, d):
+    return V.triggered(_tree(spark, d).select("path", F.lit("write").alias("event_type")), V.DEFAULT_TRIGGERS).select("path", "trigger")
+
+
+@query(
+    f"WITH {_TREE}, t(source, test) AS (SELECT path, concat(left(path, -3), '_test.go') FROM tree WHERE k = 0) SELECT test AS src, source AS dst, 'tested_by' AS rel FROM t UNION ALL SELECT source, test, 'tests' FROM t"
+)
+def go_tests(spark, d):
+    go = _tree(spark, d).where("extension = 'go'").select("path")
+    both = go.union(go.select(F.regexp_replace("path", r"\.go$", "_test.go")))
+    return associate.test_edges(both).select("src", "dst", "rel")
+
+
+BACKENDS = [{"name": "nations", "backend_type": "local", "at": "nation", "path": "/data/n"}, {"name": "bucket", "backend_type": "s3", "at": "nation/1", "path": "s3://b/"}, {"name": "repo", "backend_type": "git", "at": "customer/", "path": "/repo/"}]
+
+
+@query(
+    _W + """, n AS (SELECT src AS path FROM edges UNION SELECT dst FROM edges) SELECT path, CASE WHEN starts_with(path, 'nation/1') THEN 'bucket' WHEN starts_with(path, 'customer/') THEN 'repo' WHEN starts_with(path, 'nation') THEN 'nations' ELSE 'cwd' END AS backend,
+  CASE WHEN starts_with(path, 'nation/1') THEN concat('s3://b', substr(path, 9)) WHEN starts_with(path, 'customer/') THEN concat('/repo', substr(path, 10)) WHEN starts_with(path, 'nation') THEN concat('/data/n', substr(path, 7)) ELSE path END AS backing FROM n"""
+)
+def mount_resolution(spark, d):
+    return S.resolve(graph.nodes(R.edges(spark, d)).withColumnRenamed("node", "path"), BACKENDS)
+
+
+@query(_W + """, n AS (SELECT src AS path FROM edges UNION SELECT dst FROM edges) SELECT name, bool_or(folder) AS is_folder FROM (SELECT split_part(path, '/', 1) AS name, contains(path, '/') AS folder FROM n) GROUP BY name""")
+def folder_listing(spark, d):
+    return S.names_under(graph.nodes(R.edges(spark, d)).withColumnRenamed("node", "path"), "/")
+
+
+@query("SELECT path, key, value, seq, lag(value) OVER (PARTITION BY path ORDER BY seq) AS previous FROM (SELECT concat('users/', user_id) AS path, 'type' AS key, event_type AS value, event_id AS seq FROM events)")
+def previous_values(spark, d):
+    return S.previous_values(_user_events(spark, d).select("path", F.lit("type").alias("key"), F.col("event_type").alias("value"), F.col("event_id").alias("seq")))
+
+
+@query("SELECT o_orderpriority, count(*) AS cnt FROM orders GROUP BY o_orderpriority")
+def role_histogram(spark, d):
+    return classify.histogram(R.table(spark, d, "orders"), "o_orderpriority")
+
+
+@query(_impact_sql("region/1", 2))
+def impact_guarded(spark, d):
+    return graph.impact_or_fail(R.edges(spark, d), "region/1", 2)
+
+
+@query("WITH i AS (" + _impact_sql("customer/7", 3).replace("WITH RECURSIVE", "WITH RECURSIVE", 1) + ") SELECT path, 'user.vfs.impact' AS key, concat(relation, ' (depth ', depth, ')') AS value FROM i")
+def impact_attributes(spark, d):
+    return graph.impact_attributes(R.edges(spark, d), "customer/7")
+
+
+@query("SELECT * FROM (VALUES ('src/new.go', 'std:fmt', 'imports')) t(src, dst, rel)")
+def parsed_on_miss(spark, d):
+    sources = spark.createDataFrame([("src/new.go", 'package a\nimport "fmt"\n'), ("src/other.go", 'import "os"')], "path string, text string")
+    return graph.related_or_parse(R.edges(spark, d), sources, "src/new.go").select("src", "dst", "rel")
+
+
+@query(
+    r"""WITH p AS (SELECT page_id, url, regexp_extract(url, '[^/]*$') AS name FROM pages) SELECT page_id, name, CASE WHEN contains(url, '/') THEN left(url, length(url) - length(name) - 1) ELSE '' END AS parent,
+  CASE WHEN regexp_matches(name, '^.+\.') THEN regexp_extract(name, '[^.]*$') ELSE '' END AS extension, CASE WHEN regexp_matches(name, '^.+\.') THEN regexp_extract(name, '^(.*)\.[^.]*$', 1) ELSE name END AS stem FROM p"""
+)
+def path_parts(spark, d):
+    u = F.col("url")
+    return R.table(spark, d, "pages").select("page_id", X.file_name(u).alias("name"), X.parent(u).alias("parent"), X.extension(u).alias("extension"), X.stem(u).alias("stem"))
+
+
+@query("SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS at FROM events")
+def iso_times(spark, d):
+    return R.table(spark, d, "events").select("event_id", X.iso_time(F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("at"))
+
+
+@query(
+    """WITH k AS (SELECT s_suppkey AS k FROM supplier), t AS (SELECT k, concat(k, 'ms') AS t, k AS a, greatest(k, 1) AS b, greatest(k // 1000, 1) AS c FROM k UNION ALL SELECT k, concat(k, 's'), k * 1000, greatest(k * 1000, 1), greatest(k, 1) FROM k
+UNION ALL SELECT k, concat(k, 'm'), 0, 500, greatest(k * 60, 1) FROM k UNION ALL SELECT k, concat(k, ''), k, greatest(k, 1), greatest(k, 1) FROM k UNION ALL SELECT k, concat('x', k), 0, 500, 30 FROM k UNION ALL SELECT k, concat('x', k, 's'), 0, 1000, 30 FROM k)
+SELECT t AS text, a AS duration_ms, b AS debounce_ms, c AS timeout_s FROM t"""
+)
+def durations(spark, d):
+    k = F.col("s_suppkey").cast("string")
+    texts = F.array(*[F.concat(*parts) for parts in ((k, F.lit("ms")), (k, F.lit("s")), (k, F.lit("m")), (k, F.lit("")), (F.lit("x"), k), (F.lit("x"), k, F.lit("s")))])
+    t = R.table(spark, d, "supplier").select(F.explode(texts).alias("text"))
+    return t.select("text", X.duration_ms(F.col("text")).alias("duration_ms"), X.debounce_ms(F.col("text")).alias("debounce_ms"), X.timeout_seconds(F.col("text")).alias("timeout_s"))
+
+
+@query("SELECT page_id, regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g') AS folder FROM pages")
+def repository_names(spark, d):
+    return R.table(spark, d, "pages").select("page_id", X.repository_name(F.col("url")).alias("folder"))
+
+
+def _fired(spark, d):
+    return _user_events(spark, d).select("event_id", "path", F.lit("t").alias("trigger"), "ts")
+
+
+@query("SELECT 't' AS \"trigger\", concat('users/', user_id) AS path, concat('run users/', user_id, ' in users at ', strftime(ts, '%Y-%m-%dT%H:%M:%SZ')) AS command FROM events")
+def trigger_commands(spark, d):
+    return V.commands(_fired(spark, d), [V.Trigger("t", "*", command="run {{ .FilePath }} in {{ .ModulePath }} at {{ .Timestamp }}")])
+
+
+@query("SELECT concat('users/', user_id) AS path, 'user.vfs.checked' AS key, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS value FROM events")
+def trigger_attributes(spark, d):
+    return V.after_action(_fired(spark, d), "checked={{ .Timestamp }}")
+
+
+@query(
+    """WITH r AS (SELECT concat('region/', r_regionkey) AS path, r_name FROM region) SELECT path, 'user.vfs.backend' AS key, 's3' AS value FROM r UNION ALL SELECT path, 'user.vfs.hash', concat('sha256:', sha256(r_name)) FROM r
+UNION ALL SELECT path, 'user.vfs.uploaded_at', '2024-01-01T00:00:00Z' FROM r"""
+)
+def upload_rows(spark, d):
+    path = F.concat(F.lit("region/"), F.col("r_regionkey").cast("string")).alias("path")
+    return V.uploads(R.table(spark, d, "region").select(path, F.col("r_name").cast("binary").alias("content"), F.lit("2024-01-01").cast("timestamp").alias("ts")), "s3")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT event_type, make_timestamp(epoch_us(ts)) AS ts, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS k FROM events),
+r AS (SELECT event_type, ts, k, true AS admitted, [ts + INTERVAL 3 HOUR] AS busy FROM e WHERE k = 1
+  UNION ALL SELECT e.event_type, e.ts, e.k, len(list_filter(r.busy, lambda b: b > e.ts)) < 2, CASE WHEN len(list_filter(r.busy, lambda b: b > e.ts)) < 2 THEN list_append(list_filter(r.busy, lambda b: b > e.ts), e.ts + INTERVAL 3 HOUR) ELSE list_filter(r.busy, lambda b: b > e.ts) END
+  FROM r JOIN e ON e.event_type = r.event_type AND e.k = r.k + 1) SELECT event_type, ts, admitted FROM r"""
+)
+def concurrency_limit(spark, d):
+    events = R.table(spark, d, "events").select("event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return V.admitted(events, 3 * 3600 * 1_000_000, 2, ["event_type"])
+
+
+@query(_WALK + " SELECT path, printf('%.2f', score) AS shown FROM walked")
+def score_format(spark, d):
+    return _walked(spark, d).select("path", F.format_string("%.2f", "score").alias("shown"))
+
+
+@query(_W + "SELECT rel AS path, CAST(count(*) AS VARCHAR) AS severity, '' AS detail FROM edges GROUP BY rel")
+def rule_findings(spark, d):
+    rules.register(spark, R.edges(spark, d))
+    done = rules.check_all(spark, [rules.Rule("by-rel", "SELECT rel, count(*) AS cnt FROM edges GROUP BY rel"), rules.Rule("broken", "SELECT FROM nowhere at all")])
+    return rules.findings(done["by-rel"], spark).union(rules.findings(done["broken"], spark))
+
+
 # --- parsers ----------------------------------------------------------------
 
 SOURCES: dict[str, tuple[str, str, list[str]]] = {
@@ -699,3 +960,14 @@ _rule(
     "SELECT event_id, prior FROM (SELECT event_id, event_type, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM events) WHERE event_type = 'click'",
 )
 _rule("sql_lateral", "SELECT n_name, x.cnt FROM nation, LATERAL (SELECT count(*) AS cnt FROM customer WHERE c_nationkey = n_nationkey) x")
+_rule("sql_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS cnt FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+_rule("sql_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS cnt FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+_rule(
+    "sql_pivot",
+    "SELECT * FROM (SELECT user_id, event_type FROM events) PIVOT (count(*) AS n FOR event_type IN ('click' AS clicks, 'error' AS errors))",
+    "SELECT user_id, nullif(count(*) FILTER (WHERE event_type = 'click'), 0) AS clicks, nullif(count(*) FILTER (WHERE event_type = 'error'), 0) AS errors FROM events GROUP BY user_id",
+)
+_rule(
+    "sql_range_frame",
+    "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN 500 PRECEDING AND CURRENT ROW) AS near FROM events",
+)

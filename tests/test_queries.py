@@ -18,18 +18,23 @@ def test_equals_sql(name, spark, data, db):
 
 
 def test_understand_is_deterministic(spark, data):
-    a, b = (QUERIES["understand"](spark, data).collect() for _ in range(2))
-    assert a == b and a[0]["n_files"] > 0 and a[0]["text"].startswith("## MAP\n")
+    from tessella.operators import context
+    from tessella.queries import TASK
+    from tessella.sources import relational
 
+    a, b = (context.understand(relational.edges(spark, data), TASK) for _ in range(2))
+    assert a == b and a["files"] and a["text"].startswith("## MAP\n")
 
-def test_understand_takes_all_edges(spark, data):
+
+def test_understand_gives_sources_and_symbols(spark, data):
     from tessella.operators import context
-    from tessella.queries import TASK
+    from tessella.queries import ABOUT, _sources, _symbols
     from tessella.sources import relational
 
-    want = context.understand(relational.edges(spark, data), TASK)
-    (got,) = QUERIES["understand"](spark, data).collect()
-    assert (got["text"], got["n_files"], got["anchors"]) == (want["text"], len(want["files"]), ",".join(want["anchors"]))
+    out = context.understand(relational.edges(spark, data), ABOUT, _sources(spark, data), _symbols(spark, data))
+    assert "(source unavailable)" not in out["text"] and "documents/" in out["text"]
+    assert any(r["detail"] for r in out["files"]) and any(r["found"] for r in out["files"])
+    assert {r["path"]: r["tier"] for r in out["files"]} == {r["path"]: r["tier"] for r in QUERIES["understand"](spark, data).collect()}
 
 
 def test_entry(spark, data):
